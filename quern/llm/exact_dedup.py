@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     shared = scratch.keep(base.groupBy("len", "d0").count().filter("count > 1").select("len", "d0", (-1 - F.monotonically_increasing_id()).alias("gid")), "level0")
     rows = scratch.keep(
-        base.join(shared, ["len", "d0"], "left").select(
+        base.join(shared.hint("merge"), ["len", "d0"], "left").select(
             "id", "n_chars", "len", "gid", F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("uid"),
             F.when(F.col("gid").isNotNull() & (F.col("len") > FIRST_DIGIT), F.expr(f"substring(norm, {FIRST_DIGIT + 1})")).alias("rest"),
         ),
