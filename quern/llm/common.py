@@ -5,7 +5,11 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +69,13 @@ def fold(column: str, modulus: int, value: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def row_blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch with about `limit` bytes in a string column each; one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False))
+    begin, base = 0, 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(sizes, base + limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin, base = end, int(sizes[end - 1])

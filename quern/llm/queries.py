@@ -4,18 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import ByteBPE, digests, encode_decode, read_ranks
 from .common import read
 from .exact_dedup import exact_dedup
+from .langid import language_id
+from .mixing import mix
+from .near_dedup import near_dedup
+
+
+#: The vocabulary file of op1 and of the pipeline.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = ByteBPE(read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+    return digests(encode_decode(read(spark, sf_dir, "documents"), bpe))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), threshold=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
