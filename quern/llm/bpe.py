@@ -1,33 +1,39 @@
-"""Byte-level BPE encoding and decoding in Spark higher-order functions.
-
-A text is split by the tokenizer's pattern; each word is encoded by folding ranked merges over the array of its bytes.
-Ranks come from a literal map of two levels (bucket of the piece's checksum, then the piece), as Spark looks up a map
-by linear search. Encoding a corpus folds its frequent words once: all documents' words are counted, and those that
-fill the most common count classes, at most MOST_FREQUENT of at most LONGEST_FREQUENT bytes, become a literal map from
-word to ids. Any other word is folded where it stands, so the map only saves time and never decides a result.
-Decoding looks up each id's bytes and concatenates the pieces.
+"""Byte-level BPE encoding and decoding.
+
+Encoding splits texts by the tokenizer's pattern and folds ranked merges over the byte arrays of distinct words in
+Spark higher-order functions. Ranks come from a literal map of two levels (bucket of the piece's checksum, then the
+piece), as Spark looks up a map by linear search; the plan holds it once.
+
+Words are made distinct within a task, without a shuffle: one Arrow step numbers the words of a block of documents and
+hands on those that its task meets for the first time, the fold turns these into ids, and a second Arrow step, which
+reads the same blocks in the same order, puts documents together from the numbers. Decoding concatenates the byte
+pieces of ids.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from .common import list_blocks, ship, text_of
 
-from .common import Scratch, text_of
+ship(__name__)
 
-#: Bounds of the literal map of frequent words: words, and bytes of each.
-MOST_FREQUENT, LONGEST_FREQUENT = 1 << 17, 48
-RANK_BUCKETS, WORD_BUCKETS = 1 << 14, 1 << 16
-#: Count classes for each doubling of a word's count.
-CLASSES = 8
-NO_RANK = (1 << 31) - 1
+RANK_BUCKETS, NO_RANK = 1 << 14, (1 << 31) - 1
+#: Distinct words after which a task's numbering starts anew, and words of one block.
+MOST_WORDS, BLOCK_WORDS = 1 << 20, 1 << 20
 
 
 def java_pattern(pattern: str) -> str:
@@ -40,114 +46,159 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-def _two_level(entries: dict[bytes, object], buckets: int, value: str) -> Column:
-    """A literal array of maps; keys are hexadecimal."""
-    table: list[dict] = [{} for _ in range(buckets)]
-    for key, x in entries.items():
-        table[zlib.crc32(key) % buckets][key.hex().upper()] = x
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), f"array<map<string,{value}>>")
-
-
-def _look_up(table: Column, buckets: int, key: Column) -> Column:
-    return F.try_element_at(F.get(table, (F.crc32(key) % buckets).cast("int")), F.hex(key))
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """The literal map; keys are hexadecimal."""
+    table: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
+    for piece, k in ranks.items():
+        table[zlib.crc32(piece) % RANK_BUCKETS][piece.hex().upper()] = k
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
+
+
+def fold_word(word: Column, table: Column) -> Column:
+    """The ids of one word (binary): a word with a rank is that id; else its bytes, with the leftmost pair of least rank
+    merged until no pair has a rank. A cell holds a piece and the rank of that piece joined with the next."""
+    rank = lambda piece: F.try_element_at(F.get(table, (F.crc32(piece) % RANK_BUCKETS).cast("int")), F.hex(piece))
+    pair = lambda piece: F.coalesce(rank(piece), F.lit(NO_RANK))
+    cell = lambda k, piece: F.struct(k.alias("rank"), piece.alias("piece"))
+    n = F.octet_length(word)
+    start = F.transform(F.sequence(F.lit(1), n), lambda i: cell(F.when(i < n, pair(F.substring(word, i, F.lit(2)))).otherwise(F.lit(NO_RANK)), F.substring(word, i, F.lit(1))))
+
+    def merge(cells: Column, _: Column) -> Column:
+        def at(p: Column) -> Column:
+            def put(joined: Column) -> Column:
+                before, after = F.get(cells, p - 2), F.get(cells, p + 1)
+                own = cell(F.when(after.isNull(), F.lit(NO_RANK)).otherwise(pair(F.concat(joined, after["piece"]))), joined)
+                inner = F.concat(F.slice(cells, F.lit(1), p - 2), F.array(cell(pair(F.concat(before["piece"], joined)), before["piece"]), own), F.slice(cells, p + 2, n))
+                return F.when(p > 1, inner).otherwise(F.concat(F.array(own), F.slice(cells, F.lit(3), n)))
+
+            return _let(F.concat(F.get(cells, p - 1)["piece"], F.get(cells, p)["piece"]), put)
+
+        least = F.array_min(cells["rank"])
+        return F.when(least == NO_RANK, cells).otherwise(_let(F.array_position(cells["rank"], least).cast("int"), at))
+
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    folded = F.transform(F.aggregate(steps, start, merge)["piece"], rank)
+    return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
+
+
+def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after the other."""
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return values[:0]
+    return values[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) -> blocks: id list, sizes (words of each document), codes, fresh (words not met before), anew."""
+    known: dict[bytes, int] = {}
+    for batch in batches:
+        for part in list_blocks(batch, "words", BLOCK_WORDS):
+            anew = len(known) > MOST_WORDS
+            if anew:
+                known = {}
+            coded = part["words"].flatten().cast(pa.binary()).dictionary_encode()
+            before = len(known)
+            distinct = coded.dictionary.to_pylist()
+            numbers = np.fromiter((known.setdefault(w, len(known)) for w in distinct), np.int32, len(distinct))
+            fresh = coded.dictionary.filter(pa.array(numbers >= before))
+            codes = numbers[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int32)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.record_batch([one(part["id"]), one(pc.list_value_length(part["words"])), one(pa.array(codes)), one(fresh), pa.array([anew])], ["id", "sizes", "codes", "fresh", "anew"])
+
+
+def join_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with `fresh` folded to ids -> (id, ids)."""
+    values, starts, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            fresh = row["fresh"].flatten()
+            if row["anew"][0].as_py():
+                values, starts, sizes = values[:0], starts[:0], sizes[:0]
+            more = pc.list_value_length(fresh).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.concatenate([starts, len(values) + np.cumsum(more) - more])
+            sizes = np.concatenate([sizes, more])
+            values = np.concatenate([values, fresh.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+            codes = row["codes"].flatten().to_numpy()
+            ids = _ragged(values, starts[codes], sizes[codes])
+            words = np.cumsum(np.append(0, row["sizes"].flatten().to_numpy()))
+            tokens = np.append(0, np.cumsum(sizes[codes]))[words]
+            yield pa.record_batch([row["id"].flatten(), pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(ids))], ["id", "ids"])
+
+
 class ByteBPE:
-    """A vocabulary as column functions."""
+    """A vocabulary's encoder and decoder."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern, self.ranks = java_pattern(pattern), ranks
-        self.table = _two_level(ranks, RANK_BUCKETS, "int")
-        by_id: list[str] = [""] * (max(ranks.values()) + 1)
-        for piece, k in ranks.items():
-            by_id[k] = piece.hex().upper()
-        self.pieces = F.split(F.lit(",".join(by_id)), ",")
-
-    def rank(self, piece: Column) -> Column:
-        return _look_up(self.table, RANK_BUCKETS, piece)
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
-
-    def fold(self, word: Column) -> Column:
-        """The ids of one word (binary), by merging its leftmost pair of least rank until no pair has a rank."""
-        pair_rank = lambda piece: F.coalesce(self.rank(piece), F.lit(NO_RANK))
-        n = F.octet_length(word)
-        bytes_of = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-        ranks_of = F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair_rank(F.substring(word, i, F.lit(2))))
-
-        def merge(state: Column, _: Column) -> Column:
-            parts, ranks = state["parts"], state["ranks"]
-            none = F.array().cast("array<int>")
-
-            def at(p: Column) -> Column:
-                def put(joined: Column) -> Column:
-                    left = F.when(p > 1, F.array(pair_rank(F.concat(F.get(parts, p - 2), joined)))).otherwise(none)
-                    right = F.when(p < F.size(ranks), F.array(pair_rank(F.concat(joined, F.get(parts, p + 1))))).otherwise(none)
-                    return F.struct(
-                        F.concat(F.slice(parts, F.lit(1), p - 1), F.array(joined), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
-                        F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(parts))).alias("ranks"),
-                    )
-
-                return _let(F.concat(F.get(parts, p - 1), F.get(parts, p)), put)
-
-            merged = _let(F.array_position(ranks, F.array_min(ranks)).cast("int"), at)
-            return F.when(F.coalesce(F.array_min(ranks), F.lit(NO_RANK)) == NO_RANK, state).otherwise(merged)
-
-        start = F.struct(bytes_of.alias("parts"), ranks_of.alias("ranks"))
-        folded = F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda s: F.transform(s["parts"], self.rank))
-        return F.coalesce(F.when(self.rank(word).isNotNull(), F.array(self.rank(word))), F.when(n == 1, F.array(self.rank(word))), folded)
-
-    def frequent(self, docs: DataFrame) -> Column | None:
-        """(text) -> a literal map of the ids of frequent words; None if there are none."""
-        scratch = Scratch(docs.sparkSession, "bpe")
-        counts = docs.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").count()
-        counts = scratch.keep(counts.filter(F.octet_length("word") <= LONGEST_FREQUENT).withColumn("class", F.floor(F.log2("count") * CLASSES)), "counts")
-        sizes = counts.groupBy("class").count().orderBy(F.desc("class")).collect()
-        total, least = 0, None
-        for k, n in sizes:
-            total += n
-            if total > MOST_FREQUENT:
-                break
-            least = k
-        if least is None:
-            return None
-        chosen = counts.filter((F.col("class") >= least) & (F.col("count") > 1)).select(F.col("word").cast("binary").alias("word"))
-        got = chosen.select("word", self.fold(F.col("word")).alias("ids")).toArrow()
-        scratch.drop("counts")
-        table = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True))
-        return _two_level(table, WORD_BUCKETS, "array<int>") if table else None
-
-    def encode(self, text: Column, frequent: Column | None = None) -> Column:
-        """The ids of a text."""
-
-        def one(word: Column) -> Column:
-            return _let(word.cast("binary"), lambda w: self.fold(w) if frequent is None else F.coalesce(_look_up(frequent, WORD_BUCKETS, w), self.fold(w)))
-
-        return F.flatten(F.transform(self.words(text), one))
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda k: F.get(self.pieces, k)), ""))
-
-
-def encode_decode(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ids (array of int), decoded (binary).
-
-    A null text counts as empty: no ids, no bytes. Special tokens' strings are ordinary text. Rows that repeat an id or
-    a text are encoded each; null ids stay null. Other columns are ignored. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
-    ids = rows.select(id_col, bpe.encode(F.col("text"), bpe.frequent(rows)).alias("ids"))
-    return ids.select(id_col, "ids", bpe.decode(F.col("ids")).alias("decoded"))
-
-
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return encoded.select(
-        id_col, F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """One row per input row: id, ids (array of int).
+
+        A null text counts as empty and has no ids. Special tokens' strings are ordinary text. Rows that repeat an id or
+        a text are encoded each; null ids stay null. Other columns are ignored. An empty table gives an empty result.
+        """
+        kind = docs.schema[id_col].dataType
+        rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text_of(text_col), F.lit(self.pattern), F.lit(0)).alias("words"))
+        ints = ArrayType(IntegerType())
+        fields = [StructField("id", ArrayType(kind)), StructField("sizes", ints), StructField("codes", ints)]
+        blocks = rows.mapInArrow(number_words, StructType([*fields, *StructType.fromDDL("fresh array<binary>, anew boolean")]))
+        folded = blocks.withColumn("fresh", _let(rank_table(self.ranks), lambda table: F.transform("fresh", lambda w: fold_word(w, table))))
+        return folded.mapInArrow(join_words, StructType([StructField("id", kind), StructField("ids", ints)])).withColumnRenamed("id", id_col)
+
+    def pieces(self) -> list[bytes]:
+        by_id = [b""] * (max(self.ranks.values()) + 1)
+        for piece, k in self.ranks.items():
+            by_id[k] = piece
+        return by_id
+
+    def decode(self, encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """(id, ids) -> id, ids, decoded (binary). Null ids decode to no bytes; an id outside the vocabulary fails."""
+        pieces = docs_broadcast(encoded, self.pieces())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.array(pieces.value, pa.large_binary())
+            for batch in batches:
+                for part in list_blocks(batch, "ids", BLOCK_WORDS):
+                    taken, at = joined(table, part["ids"])
+                    yield pa.record_batch([part["id"], part["ids"], pa.array([taken[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "ids", "decoded"])
+
+        kind = encoded.schema[id_col].dataType
+        out = StructType([StructField("id", kind), StructField("ids", ArrayType(IntegerType())), *StructType.fromDDL("decoded binary")])
+        return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, out).withColumnRenamed("id", id_col)
+
+
+def docs_broadcast(df: DataFrame, value: object):
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
+def joined(table: pa.Array, lists: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The table's entries at all ids of all lists in one buffer, and where each list's part begins."""
+    ids = lists.flatten()
+    taken = table.take(ids)
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8) if len(taken) else np.zeros(1, np.int64)
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return memoryview(taken.buffers()[2] or b"").cast("B"), ends[np.append(0, np.cumsum(counts))]
+
+
+def digest_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, ids, decoded) -> id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
+    for batch in batches:
+        for part in list_blocks(batch, "ids", BLOCK_WORDS):
+            ids = part["ids"].flatten()
+            table = pa.array([b"%d," % k for k in range((pc.max(ids).as_py() or 0) + 1)], pa.large_binary())
+            text, at = joined(table, part["ids"])
+            hashes = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+            bodies = [hashlib.sha256(x.as_buffer()).hexdigest() for x in part["decoded"]]
+            yield pa.record_batch([part["id"], pc.list_value_length(part["ids"]).cast(pa.int64()), pa.array(hashes, pa.string()), pa.array(bodies, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    kind = decoded.schema[id_col].dataType
+    out = StructType([StructField("id", kind), *StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string")])
+    return decoded.select(F.col(id_col).alias("id"), "ids", "decoded").mapInArrow(digest_lists, out).withColumnRenamed("id", id_col)

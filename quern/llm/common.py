@@ -71,11 +71,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def row_blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of an Arrow batch with about `limit` bytes in a string column each; one row at least."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False))
-    begin, base = 0, 0
+def _parts(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    sums, begin, base = np.cumsum(sizes), 0, 0
     while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(sizes, base + limit, "right")))
+        end = max(begin + 1, int(np.searchsorted(sums, base + limit, "right")))
         yield batch.slice(begin, end - begin)
-        begin, base = end, int(sizes[end - 1])
+        begin, base = end, int(sums[end - 1])
+
+
+def row_blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch with about `limit` bytes in a string column each; one row at least."""
+    return _parts(batch, pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64), limit)
+
+
+def list_blocks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same by the elements of a list column."""
+    return _parts(batch, pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64), limit)

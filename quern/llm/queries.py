@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import ByteBPE, digests, encode_decode, read_ranks
+from .bpe import ByteBPE, digests, read_ranks
 from .common import read
 from .exact_dedup import exact_dedup
 from .langid import language_id
@@ -21,7 +21,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = ByteBPE(read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
-    return digests(encode_decode(read(spark, sf_dir, "documents"), bpe))
+    return digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
