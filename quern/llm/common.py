@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
@@ -87,3 +88,24 @@ def row_blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iter
 def list_blocks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same by the elements of a list column."""
     return _parts(batch, pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64), limit)
+
+
+#: Words whose hashes a task remembers.
+WORDS_KEPT = 1 << 19
+
+
+class WordHashes(dict):
+    """Hashes of words; forgets all once it holds WORDS_KEPT."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        h = self[word] = xxh3_64_intdigest(word)
+        return h
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser, so that close inputs give unrelated values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

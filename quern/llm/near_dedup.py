@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, row_blocks, ship, text_of
+from .common import Scratch, WordHashes, mixed, row_blocks, ship, text_of
 from .components import components
 
 ship(__name__)
@@ -38,27 +38,10 @@ SKETCH, SHINGLE = 64, 5
 DEVIATIONS = 6.0
 #: Pairs for each posting that the closing comparison may cost; more hubs come first while it costs more.
 CLOSING_PAIRS = 2.0
-MULT, WORDS_KEPT = np.uint64(0x9E3779B97F4A7C15), 1 << 19
+MULT = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-class WordHashes(dict):
-    """Hashes of words; forgets all once it holds WORDS_KEPT."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxh3_64_intdigest(word)
-        return h
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser, so that close inputs give unrelated values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str | None, known: WordHashes, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles of n words; of the whole sequence if it is shorter; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, digests, read_ranks
 from .common import read
@@ -13,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .langid import language_id
 from .mixing import mix
 from .near_dedup import near_dedup
+from .substring_dedup import substring_dedup
 
 
 #: The vocabulary file of op1 and of the pipeline.
@@ -36,6 +38,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), threshold=85)
 
@@ -45,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
