@@ -4,15 +4,14 @@ A document's set holds the 64-bit hashes of its distinct word shingles. One hash
 are the sketch. Documents with equal sets form a class at once; from there on only one document of a class takes part.
 
 Candidates come from inverted lists of retained values. Two sets with the wanted similarity share at least MIN_SHARED
-of their k values (all but about 1e-9 of pairs; for sets of at most k the bound is exact), so they meet in a list even
+of their k values (all but about 3e-7 of pairs at the threshold, fewer above; for sets of at most k the bound is exact), so they meet in a list even
 if each posts only its k - MIN_SHARED + 1 rarest values. Values that one class alone retains fill places in that
 order but need no list, which keeps the values of passages that many documents share out of the lists of all documents
 that hold enough else.
 
 Within a list not all pairs are compared. A round compares members with a few hubs, verifies the pairs and contracts
-linked classes to components; lists that lie in one component are finished. The number of hubs grows fourfold a round.
-Once what is left costs no more than a few pairs for each posting (or the hubs have exhausted the lists), every pair of
-members in different components is compared, which makes the components exact.
+linked classes to components; lists that lie in one component are finished. Then, in lists with several components left,
+members outside the largest one are compared with all members of other components, which makes the components exact.
 
 A pair counts as a candidate after the sketch of its union estimates enough similarity; its full sets are then read
 from the texts and decide.
@@ -35,9 +34,9 @@ ship(__name__)
 
 SKETCH, SHINGLE = 64, 5
 #: Standard deviations below the mean overlap of two sketches at the threshold.
-DEVIATIONS = 6.0
-#: Pairs for each posting that the closing comparison may cost; more hubs come first while it costs more.
-CLOSING_PAIRS = 2.0
+DEVIATIONS = 5.0
+#: Hubs of a list in each round before the closing comparison.
+HUBS = (1, 8)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -141,41 +140,45 @@ class NearDuplicates:
         self.scratch.drop("shared", "common")
         return out
 
+    def read_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node) -> node, members: the full sets of these classes, from their texts."""
+        wanted = self.scratch.keep(nodes.distinct(), "wanted")
+        texts = self.docs.select(F.col("id").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi")
+        sets = set_rows(texts, self.shingle).join(self.classes.select("node", "set_a"), ["node", "set_a"], "left_semi")
+        return self.scratch.keep(sets.dropDuplicates(["node"]).select("node", "members"), "sets")
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of classes whose full sets are similar enough."""
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimated(self.threshold)).select("a", "b", "n_a", "n_b")
         likely = self.scratch.keep(likely, f"likely-{name}")
-        wanted = self.scratch.keep(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"wanted-{name}")
-        texts = self.docs.select(F.col("id").alias("node"), "text").join(wanted, "node", "left_semi")
-        sets = set_rows(texts, self.shingle).join(self.classes.select("node", "set_a"), ["node", "set_a"], "left_semi")
-        sets = self.scratch.keep(sets.dropDuplicates(["node"]), f"sets-{name}")
-        left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("set_x")), sets.select(F.col("node").alias("b"), F.col("members").alias("set_y"))
+        left, right = self.sets.select(F.col("node").alias("a"), F.col("members").alias("set_x")), self.sets.select(F.col("node").alias("b"), F.col("members").alias("set_y"))
         out = likely.join(left, "a").join(right, "b").filter(similar_enough("set_x", "set_y", "n_a", "n_b", self.threshold)).select("a", "b")
         out = self.scratch.keep(out, f"links-{name}")
-        self.scratch.drop(f"sets-{name}", f"wanted-{name}", f"likely-{name}")
+        self.scratch.drop(f"likely-{name}")
         return out
 
     def roots(self) -> DataFrame:
         """(node, root) of classes that are linked to another."""
         spark, scratch, postings = self.docs.sparkSession, self.scratch, self.postings()
         links, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
-        hubs, step, posted = 1, 0, postings.count()
+        step = 0
         while True:
             members = postings.join(labels, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
             members = scratch.keep(members, f"members{step}")
             by_root = members.groupBy("value", "root").count()
             lists = by_root.groupBy("value").agg(F.sum("count").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("count", -F.col("root"))).alias("main"), F.max("count").alias("most")).filter("roots > 1")
             lists = scratch.keep(lists, f"lists{step}")
-            cost, longest = lists.agg(F.sum((F.col("size") - F.col("most")) * F.col("size")), F.max("size")).first()
-            if not cost:
+            if lists.isEmpty():
                 return labels
             within = scratch.keep(members.join(lists.select("value", "main"), "value"), f"within{step}")
-            closing = cost <= CLOSING_PAIRS * posted or hubs > 4 * longest
+            if not step:
+                self.sets = self.read_sets(within.select("node"))
+            closing = step == len(HUBS)
             if closing:
                 chosen = within.filter("root <> main").select("value", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
             else:
-                turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(hubs))
+                turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(HUBS[step]))
                 first = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(step)))
                 chosen = within.groupBy("value", turn.alias("turn")).agg(first.alias("hub")).select("value", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
             chosen = scratch.keep(chosen, f"hubs{step}")
@@ -186,7 +189,7 @@ class NearDuplicates:
             labels = components(links, scratch, f"cc{step}")
             if closing:
                 return labels
-            hubs, step = hubs * 4, step + 1
+            step += 1
 
     def result(self) -> DataFrame:
         """id, n_shingles, component_id of every row."""
