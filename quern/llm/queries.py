@@ -15,7 +15,10 @@ from .langid import language_id
 from .merkle import compare_edits
 from .mixing import mix
 from .near_dedup import near_dedup
+from .quality import quality
+from .secrets import counted, scan
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 
 #: The vocabulary file of op1 and of the pipeline.
@@ -27,6 +30,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
@@ -44,6 +55,11 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted(found)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,10 +71,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_merkle": op7_merkle,
+    "op8_secrets": op8_secrets,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
