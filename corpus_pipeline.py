@@ -1,12 +1,69 @@
-"""A corpus pipeline of the training-data operators, stage by stage."""
+"""A corpus pipeline of the training-data operators, stage by stage.
+
+Every stage takes the documents that its predecessor kept (columns doc_id, text, lang, source, n_chars; others pass
+through the first four stages) and is judged by itself. Rows that repeat an id stay or go together. Empty tables pass.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.bpe import ByteBPE, read_ranks
+from quern.llm.common import fold
+from quern.llm.exact_dedup import exact_dedup
+from quern.llm.langid import identify, train
+from quern.llm.mixing import mix
+from quern.llm.near_dedup import near_dedup
+from quern.llm.queries import VOCABULARY
+
+#: A document whose language is found with less certainty is rejected.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without letters or of uncertain language; a null lang takes the language found."""
+    model = train(docs, ~fold("doc_id", 4, 2))
+    found = identify(docs, model, with_text=True).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal without white space, keep the one with the longest text."""
+    kept = exact_dedup(docs).filter("kept").select("doc_id")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity of 0.8 or more) keep the document of least id."""
+    kept = near_dedup(docs).filter("kept").select("doc_id")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix has copies of it."""
+    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    taken = docs.join(copies.hint("merge"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256 (of the bytes that the ids decode to) for each row."""
+    bpe = ByteBPE(read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(docs))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES = []
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("bpe", encoding_stage),
+]
 
-#: SQL can't express the learned and iterative stages.
+#: SQL can't express the learned and iterative stages; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import fold, row_blocks, ship
 
@@ -136,8 +137,8 @@ def score_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [model.langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)], np.where(known, p[np.arange(len(texts)), best], 0.0)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred, score, held (columns of `docs` other than id and text pass through).
+def identify(docs: DataFrame, model: Model, text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """One row per input row: the columns of `docs` (the text if asked for), lang_pred, score.
 
     A null text, or one without a letter, is `und` with score 0, as is any text under a model without languages. The
     score is the posterior of the predicted language, tempered as if the text had 64 n-grams. Ties go to the first
@@ -145,7 +146,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != text_col]
+    rest = [f for f in docs.schema.fields if (with_text or f.name != text_col) and f.name not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +154,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 langs, scores = score_texts(shared.value, [t or "" for t in part[text_col].to_pylist()])
                 yield pa.record_batch([*(part[f.name] for f in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in rest), "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    return docs.select(*(f.name for f in rest), text_col).mapInArrow(run, StructType([*rest, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.select(*(f.name for f in rest), *([] if with_text else [text_col])).mapInArrow(run, StructType([*rest, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -88,5 +88,6 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 def counted(found: DataFrame, id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """id, a count for each kind, base_sha256 and spans as text (kind:start:end, comma-joined)."""
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, kind=r.kind: s["kind"] == kind)).cast("long").alias(f"n_{r.kind}") for r in rules]
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in rules]
     return found.select(id_col, *counts, F.sha2(listed.cast("binary"), 256).alias("base_sha256"), listed.alias("spans"))

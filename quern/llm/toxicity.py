@@ -6,8 +6,8 @@ most SPAN letters. So `idiot`, `i.d.i.o.t`, `i d i o t` and `idxiot` are close t
 
 Labels mark documents; a labelled sentence is positive where its document is toxic and one of its units has a telling
 part: a letter sequence that toxic documents share and clean ones lack. Units of positive sentences with such a part
-are the positive examples, units of clean sentences the negative ones, hard ones found in rounds. Landmarks are a
-sample of both. The machine is linear in the landmarks' kernel values and these are linear in a unit's weighted
+are the positive examples, with bent ones (a letter put in) of the frequent ones; units of clean sentences are the
+negative ones, hard ones found in rounds. Landmarks are the frequent ones and a sample of both. The machine is linear in the landmarks' kernel values and these are linear in a unit's weighted
 subsequences, so that it collapses to one weight for each hashed subsequence: a unit is scored by a few look-ups.
 """
 
@@ -166,14 +166,17 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 1) -> tuple[np.
     pick = lambda xs, n: [xs[k] for k in sorted(rng.choice(len(xs), min(n, len(xs)), replace=False))]
     positive, negative = pick(positive, MAX_EXAMPLES), pick(safe, MAX_EXAMPLES // 2)
     table, bias = np.zeros(1 << BITS, np.float32), -1.0
-    landmarks = pick(positive, LANDMARKS // 2) + pick(negative, LANDMARKS // 2)
+    often = Counter(w for d in toxic for w in d)
+    frequent = sorted(positive, key=lambda w: (-often[w], w))[: LANDMARKS // 4]
+    landmarks = frequent + pick(sorted(set(positive) - set(frequent)), LANDMARKS // 4) + pick(negative, LANDMARKS // 2)
+    bent = [w[:k] + chr(ord("a") + int(rng.integers(26))) + w[k:] for w in frequent for k in rng.integers(1, len(w), 3)]
+    weight = np.array([often[w] + 1 for w in positive] + [often[w] / 6 for w in frequent for _ in range(3)], float)
+    positive = positive + bent
     marks = feature_rows(landmarks)
     value, vector = np.linalg.eigh(marks @ marks.T)
     whiten = vector / np.sqrt(np.maximum(value, 1e-3))
     project = lambda ws: np.concatenate([feature_rows(ws[k : k + 200]) @ marks.T for k in range(0, len(ws), 200)]) @ whiten
     good, bad = project(positive), project(negative)
-    often = Counter(w for d in toxic for w in d)
-    weight = np.array([often[w] + 1 for w in positive], float)
     for k in range(ROUNDS):
         w, bias = svm(np.concatenate([good, bad]), np.append(np.ones(len(good)), -np.ones(len(bad))), weight, seed + k)
         table = ((whiten @ w) @ marks).astype(np.float32)
