@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_KEY = Window.partitionBy("key")
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -43,7 +42,7 @@ def live_keys(log: DataFrame) -> DataFrame:
 
 def versions(log: DataFrame) -> DataFrame:
     """Puts with generation (deletes of the key before) and version (from 0 in each generation)."""
-    order = BY_KEY.orderBy("seq")
+    order = Window.partitionBy("key").orderBy("seq")
     marked = log.withColumn("generation", F.sum((F.col("op") == "delete").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     puts = marked.filter("op = 'put'")
     return puts.withColumn("version", F.row_number().over(Window.partitionBy("key", "generation").orderBy("seq")) - 1)
@@ -85,7 +84,7 @@ def compacted(log: DataFrame, keep: int = 1) -> DataFrame:
     """Live keys with their last `keep` versions."""
     if keep == 1:
         return latest(log)
-    back = F.row_number().over(BY_KEY.orderBy(F.desc("seq")))
+    back = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
     return current_versions(log).withColumn("back", back).filter(F.col("back") <= keep).drop("back")
 
 

@@ -9,14 +9,22 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-ATTR = T.StructType.fromDDL("t string, s string, i bigint, f double, b boolean, y binary")
+TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "ints": T.ArrayType(T.IntegerType()), "time": T.TimestampNTZType()}
+
+
+def struct(fields: str) -> T.StructType:
+    """A struct from "name type, ..."; unlike a DDL string it needs no session."""
+    return T.StructType([T.StructField(n, TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
+
+
+ATTR = struct("t string, s string, i bigint, f double, b boolean, y binary")
 ATTRS = T.MapType(T.StringType(), ATTR)
 #: One chunk of a payload: its place, its content address and its length.
-REF = T.StructType.fromDDL("ord int, content_hash string, len int")
+REF = struct("ord int, content_hash string, len int")
 
-LOG = T.StructType.fromDDL("seq bigint, key string, op string, dtype string, shape array<int>").add("attrs", ATTRS).add("retain", "string").add("data", "binary")
+LOG = struct("seq bigint, key string, op string, dtype string, shape ints").add("attrs", ATTRS).add("retain", "string").add("data", "binary")
 TOC = T.StructType([f for f in LOG.fields if f.name != "data"]).add("refs", T.ArrayType(REF)).add("committed_at", T.TimestampNTZType())
-CHUNKS = T.StructType.fromDDL("content_hash string, len int, crc32 bigint, payload binary")
+CHUNKS = struct("content_hash string, len int, crc32 bigint, payload binary")
 
 #: An attribute's largest value in bytes; a checkpoint's bytes and seconds; parts of a default archive.
 MAX_ATTR_BYTES, CHECKPOINT_BYTES, CHECKPOINT_SECONDS, DEFAULT_SHARDS = 4096, 64 * 1024 * 1024, 60, 4
