@@ -108,7 +108,7 @@ def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = coded.dictionary.filter(pa.array(numbers >= before))
             codes = numbers[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int32)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.record_batch([one(part["id"]), one(pc.list_value_length(part["words"])), one(pa.array(codes)), one(fresh), pa.array([anew])], ["id", "sizes", "codes", "fresh", "anew"])
+            yield pa.record_batch([one(part["id"]), one(pc.fill_null(pc.list_value_length(part["words"]), 0)), one(pa.array(codes)), one(fresh), pa.array([anew])], ["id", "sizes", "codes", "fresh", "anew"])
 
 
 def join_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

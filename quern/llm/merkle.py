@@ -9,7 +9,7 @@ which branches differ:
     root|section{paragraph(block block ...) ...} ...
 
 Likeness of two fingerprints is the share of blocks that they have in common (Dice's coefficient of their sets of block
-hashes, cut to BLOCK_DIGITS digits); it is 1 where the roots are equal.
+hashes, cut to BLOCK_DIGITS digits); it is 1 if and only if the roots are equal.
 """
 
 from __future__ import annotations
@@ -64,9 +64,10 @@ def blocks_of(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, blocks_a: Column, blocks_b: Column) -> Column:
+    """Of two fingerprints with their blocks; blocks that differ in order or white space only leave it below 1."""
     shared = F.size(F.array_intersect(blocks_a, blocks_b))
     every = F.size(blocks_a) + F.size(blocks_b)
-    return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), 1.0).when(every == 0, 0.0).otherwise(2.0 * shared / F.greatest(every, F.lit(1)))
+    return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), 1.0).otherwise(F.least(2.0 * shared / F.greatest(every, F.lit(1)), 1 - 1 / (every + 2)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,8 @@ that hold enough else.
 Within a list not all pairs are compared. A round compares members with a few hubs, verifies the pairs and contracts
 linked classes to components; lists that lie in one component are finished. Then, in lists with several components left,
 members outside the largest one are compared with all members of other components, which makes the components exact.
+What both members of a pair share with the first hub of their list bounds what they share with each other; pairs that
+the bound rules out are not read.
 
 A pair counts as a candidate after the sketch of its union estimates enough similarity; its full sets are then read
 from the texts and decide.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -95,10 +97,9 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, set_a long, members array<long>")
 
 
-def similar_enough(left: str, right: str, left_n: str, right_n: str, threshold: int):
-    """Exact: threshold hundredths of the union are shared."""
-    shared = F.size(F.array_intersect(left, right))
-    return F.lit(100) * shared >= F.lit(threshold) * (F.col(left_n) + F.col(right_n) - shared)
+def enough(shared: Column, left_n: Column, right_n: Column, threshold: int) -> Column:
+    """Whether `shared` members are threshold hundredths of the union."""
+    return F.lit(100) * shared >= F.lit(threshold) * (left_n + right_n - shared)
 
 
 def _estimated(threshold: int):
@@ -127,7 +128,7 @@ class NearDuplicates:
         self.classes = self.scratch.keep(pick, "classes")
 
     def postings(self) -> DataFrame:
-        """(value, node): the rarest retained values of each class that other classes retain too."""
+        """(value, node, n): the rarest retained values of each class that other classes retain too."""
         each = self.classes.select("node", F.size("sketch").alias("kept"), "n", F.explode("sketch").alias("value"))
         shared = self.scratch.keep(each.groupBy("value").count().filter("count > 1"), "shared")
         common = self.scratch.keep(each.join(shared, "value"), "common")
@@ -136,7 +137,7 @@ class NearDuplicates:
         places = F.when(F.col("n") <= SKETCH, F.greatest(exact, F.col("kept") - t + 1)).otherwise(F.lit(SKETCH - t + 1))
         ranked = common.groupBy("node").agg(F.first("kept").alias("kept"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("values"))
         posted = ranked.withColumn("places", F.greatest(F.lit(0), places - (F.col("kept") - F.size("values")))).filter("places > 0")
-        out = self.scratch.keep(posted.select("node", F.explode(F.slice("values", F.lit(1), F.col("places").cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node"), "postings")
+        out = self.scratch.keep(posted.select("node", "n", F.explode(F.slice("values", F.lit(1), F.col("places").cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node", "n"), "postings")
         self.scratch.drop("shared", "common")
         return out
 
@@ -147,14 +148,14 @@ class NearDuplicates:
         sets = set_rows(texts, self.shingle).join(self.classes.select("node", "set_a"), ["node", "set_a"], "left_semi")
         return self.scratch.keep(sets.dropDuplicates(["node"]).select("node", "members"), "sets")
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) of classes whose full sets are similar enough."""
+    def measured(self, pairs: DataFrame, name: str) -> DataFrame:
+        """a, b, shared (members of both full sets), linked of the pairs (a, b) that their sketches leave possible."""
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimated(self.threshold)).select("a", "b", "n_a", "n_b")
         likely = self.scratch.keep(likely, f"likely-{name}")
         left, right = self.sets.select(F.col("node").alias("a"), F.col("members").alias("set_x")), self.sets.select(F.col("node").alias("b"), F.col("members").alias("set_y"))
-        out = likely.join(left, "a").join(right, "b").filter(similar_enough("set_x", "set_y", "n_a", "n_b", self.threshold)).select("a", "b")
-        out = self.scratch.keep(out, f"links-{name}")
+        both = likely.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_x", "set_y")))
+        out = self.scratch.keep(both.select("a", "b", "shared", enough(F.col("shared"), F.col("n_a"), F.col("n_b"), self.threshold).alias("linked")), f"pairs-{name}")
         self.scratch.drop(f"likely-{name}")
         return out
 
@@ -164,28 +165,39 @@ class NearDuplicates:
         links, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
         step = 0
         while True:
-            members = postings.join(labels, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+            members = postings.join(labels, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
             members = scratch.keep(members, f"members{step}")
             by_root = members.groupBy("value", "root").count()
             lists = by_root.groupBy("value").agg(F.sum("count").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("count", -F.col("root"))).alias("main"), F.max("count").alias("most")).filter("roots > 1")
             lists = scratch.keep(lists, f"lists{step}")
             if lists.isEmpty():
                 return labels
-            within = scratch.keep(members.join(lists.select("value", "main"), "value"), f"within{step}")
+            within = members.join(lists.select("value", "main"), "value")
             if not step:
+                within = scratch.keep(within.withColumn("common", F.lit(None).cast("int")), f"within{step}")
                 self.sets = self.read_sets(within.select("node"))
+            else:
+                # What a member shares with the first round's hub of its list.
+                within = within.join(pivots, "value").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(known, ["a", "b"], "left")
+                within = scratch.keep(within.withColumn("common", F.when(F.col("node") == F.col("pivot"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "pivot", "shared"), f"within{step}")
             closing = step == len(HUBS)
             if closing:
-                chosen = within.filter("root <> main").select("value", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+                chosen = within.filter("root <> main").select("value", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"))
             else:
                 turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(HUBS[step]))
-                first = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(step)))
-                chosen = within.groupBy("value", turn.alias("turn")).agg(first.alias("hub")).select("value", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+                first = F.min_by(F.struct("node", "root", "n", "common"), F.xxhash64("node", F.lit(step)))
+                chosen = within.groupBy("value", turn.alias("turn")).agg(first.alias("hub")).select("value", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n").alias("hub_n"), F.col("hub.common").alias("hub_common"))
             chosen = scratch.keep(chosen, f"hubs{step}")
-            pairs = within.join(chosen, "value").filter("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-            new = self.links(pairs, f"r{step}")
-            links = scratch.keep(links.unionByName(new), f"all{step}")
-            scratch.drop(f"members{step}", f"lists{step}", f"within{step}", f"hubs{step}")
+            # Members of both lie in the pivot's set or outside it, which bounds what the pair can share.
+            bound = F.least("common", "hub_common") + F.least(F.col("n") - F.col("common"), F.col("hub_n") - F.col("hub_common"))
+            sizes = F.lit(100) * F.least("n", "hub_n") >= F.lit(self.threshold) * F.greatest("n", "hub_n")
+            possible = sizes & F.coalesce(enough(bound, F.col("n"), F.col("hub_n"), self.threshold), F.lit(True))
+            pairs = within.join(chosen, "value").filter((F.col("root") != F.col("hub_root")) & possible).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            found = self.measured(pairs, f"r{step}")
+            if not step:
+                pivots, known = chosen.select("value", F.col("hub").alias("pivot")), found.select("a", "b", "shared")
+            links = scratch.keep(links.unionByName(found.filter("linked").select("a", "b")), f"all{step}")
+            scratch.drop(f"members{step}", f"lists{step}", f"within{step}", *([f"hubs{step}"] if step else []))
             labels = components(links, scratch, f"cc{step}")
             if closing:
                 return labels

@@ -30,8 +30,8 @@ CHUNK = 1 << 19
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """Buckets of the byte n-grams that hold white space at their ends only. `data` begins and ends with a space."""
+def grams(data: np.ndarray, starts: int) -> np.ndarray:
+    """Buckets of the byte n-grams at the first `starts` places that hold white space at their ends only."""
     space, out = _SPACE[data], []
     h = data.astype(np.uint32)
     inner = np.zeros(len(data), bool)
@@ -43,7 +43,7 @@ def grams(data: np.ndarray) -> np.ndarray:
         inner = inner[:n] | (space[order - 2 : order - 2 + n] if order > 2 else False)
         if order in ORDERS:
             mixed = (h + np.uint32(order)) * np.uint32(0x9E3779B1)
-            out.append((mixed >> np.uint32(32 - GRAM_BITS))[~inner])
+            out.append((mixed >> np.uint32(32 - GRAM_BITS))[:starts][~inner[:starts]])
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -52,8 +52,7 @@ def features(text: str | None, known: WordHashes) -> Iterator[np.ndarray]:
     raw = b" " + (text or "").encode("utf-8", "surrogatepass") + b" "
     data = np.frombuffer(raw, np.uint8)
     for begin in range(0, len(data), CHUNK):
-        part = grams(data[begin : begin + CHUNK + max(ORDERS) - 1])
-        yield part
+        yield grams(data[begin : begin + CHUNK + max(ORDERS) - 1], CHUNK)
     words = raw.split()
     for begin in range(0, len(words), CHUNK):
         h = np.fromiter(map(known.__getitem__, words[max(0, begin - 1) : begin + CHUNK]), np.uint64)
