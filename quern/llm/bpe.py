@@ -33,7 +33,8 @@ ship(__name__)
 
 RANK_BUCKETS, NO_RANK = 1 << 14, (1 << 31) - 1
 #: Distinct words after which a task's numbering starts anew, and words of one block.
-MOST_WORDS, BLOCK_WORDS = 1 << 20, 1 << 20
+MOST_WORDS, BLOCK_WORDS = 1 << 20, 1 << 18
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def java_pattern(pattern: str) -> str:
@@ -58,31 +59,36 @@ def rank_table(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
 
 
+def binary_keys(table: Column) -> Column:
+    return F.transform(table, lambda m: F.transform_keys(m, lambda k, _: F.unhex(k)))
+
+
 def fold_word(word: Column, table: Column) -> Column:
-    """The ids of one word (binary): a word with a rank is that id; else its bytes, with the leftmost pair of least rank
-    merged until no pair has a rank. A cell holds a piece and the rank of that piece joined with the next."""
-    rank = lambda piece: F.try_element_at(F.get(table, (F.crc32(piece) % RANK_BUCKETS).cast("int")), F.hex(piece))
-    pair = lambda piece: F.coalesce(rank(piece), F.lit(NO_RANK))
-    cell = lambda k, piece: F.struct(k.alias("rank"), piece.alias("piece"))
+    """The ids of one word (binary) under a table with binary keys: a word with a rank is that id; else its bytes, with
+    the leftmost pair of least rank merged until no pair has a rank.
+
+    The state holds where pieces begin (and, last, where the word ends) and each piece's rank joined with the next."""
+    none = F.array().cast("array<int>")
+    rank = lambda piece: F.try_element_at(F.get(table, (F.crc32(piece) % RANK_BUCKETS).cast("int")), piece)
+    pair = lambda begin, end: F.when(end.isNull(), F.lit(NO_RANK)).otherwise(F.coalesce(rank(F.substring(word, begin, end - begin)), F.lit(NO_RANK)))
     n = F.octet_length(word)
-    start = F.transform(F.sequence(F.lit(1), n), lambda i: cell(F.when(i < n, pair(F.substring(word, i, F.lit(2)))).otherwise(F.lit(NO_RANK)), F.substring(word, i, F.lit(1))))
+    start = F.struct(F.sequence(F.lit(1), n + 1).alias("at"), F.transform(F.sequence(F.lit(1), n), lambda i: pair(i, F.when(i < n, i + 2))).alias("ranks"))
 
-    def merge(cells: Column, _: Column) -> Column:
-        def at(p: Column) -> Column:
-            def put(joined: Column) -> Column:
-                before, after = F.get(cells, p - 2), F.get(cells, p + 1)
-                own = cell(F.when(after.isNull(), F.lit(NO_RANK)).otherwise(pair(F.concat(joined, after["piece"]))), joined)
-                inner = F.concat(F.slice(cells, F.lit(1), p - 2), F.array(cell(pair(F.concat(before["piece"], joined)), before["piece"]), own), F.slice(cells, p + 2, n))
-                return F.when(p > 1, inner).otherwise(F.concat(F.array(own), F.slice(cells, F.lit(3), n)))
+    def merge(state: Column, _: Column) -> Column:
+        at, ranks = state["at"], state["ranks"]
 
-            return _let(F.concat(F.get(cells, p - 1)["piece"], F.get(cells, p)["piece"]), put)
+        def put(p: Column) -> Column:
+            left = F.when(p > 1, F.array(pair(F.get(at, p - 2), F.get(at, p + 1)))).otherwise(none)
+            own = F.array(pair(F.get(at, p - 1), F.get(at, p + 2)))
+            rest = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, own, F.slice(ranks, p + 2, n))
+            return F.struct(F.array_remove(at, F.get(at, p)).alias("at"), rest.alias("ranks"))
 
-        least = F.array_min(cells["rank"])
-        return F.when(least == NO_RANK, cells).otherwise(_let(F.array_position(cells["rank"], least).cast("int"), at))
+        least = F.array_min(ranks)
+        return F.when(least == NO_RANK, state).otherwise(_let(F.array_position(ranks, least).cast("int"), put))
 
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    folded = F.transform(F.aggregate(steps, start, merge)["piece"], rank)
-    return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
+    ids = lambda s: F.transform(F.slice(s["at"], F.lit(1), F.size(s["at"]) - 1), lambda begin, i: rank(F.substring(word, begin, F.get(s["at"], i + 1) - begin)))
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
+    return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(steps, start, merge, ids)))
 
 
 def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -137,19 +143,28 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern, self.ranks = java_pattern(pattern), ranks
 
+    def _folded(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """Blocks of numbered words with the ids of fresh ones."""
+        rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text_of(text_col), F.lit(self.pattern), F.lit(0)).alias("words"))
+        ints = ArrayType(IntegerType())
+        fields = [StructField("id", ArrayType(docs.schema[id_col].dataType)), StructField("sizes", ints), StructField("codes", ints)]
+        blocks = rows.mapInArrow(number_words, StructType([*fields, *StructType.fromDDL("fresh array<binary>, anew boolean")]))
+        return blocks.withColumn("fresh", _let(rank_table(self.ranks), lambda t: _let(binary_keys(t), lambda table: F.transform("fresh", lambda w: fold_word(w, table)))))
+
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per input row: id, ids (array of int).
 
         A null text counts as empty and has no ids. Special tokens' strings are ordinary text. Rows that repeat an id or
         a text are encoded each; null ids stay null. Other columns are ignored. An empty table gives an empty result.
         """
-        kind = docs.schema[id_col].dataType
-        rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text_of(text_col), F.lit(self.pattern), F.lit(0)).alias("words"))
-        ints = ArrayType(IntegerType())
-        fields = [StructField("id", ArrayType(kind)), StructField("sizes", ints), StructField("codes", ints)]
-        blocks = rows.mapInArrow(number_words, StructType([*fields, *StructType.fromDDL("fresh array<binary>, anew boolean")]))
-        folded = blocks.withColumn("fresh", _let(rank_table(self.ranks), lambda table: F.transform("fresh", lambda w: fold_word(w, table))))
-        return folded.mapInArrow(join_words, StructType([StructField("id", kind), StructField("ids", ints)])).withColumnRenamed("id", id_col)
+        out = StructType([StructField("id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType()))])
+        return self._folded(docs, id_col, text_col).mapInArrow(join_words, out).withColumnRenamed("id", id_col)
+
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """encode, decode and digests in one Arrow step: id, n_tokens, ids_sha256, decoded_sha256."""
+        decode = self._decoder(docs)
+        out = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(DIGESTS)])
+        return self._folded(docs, id_col, text_col).mapInArrow(lambda batches: digest_lists(decode(join_words(batches))), out).withColumnRenamed("id", id_col)
 
     def pieces(self) -> list[bytes]:
         by_id = [b""] * (max(self.ranks.values()) + 1)
@@ -157,9 +172,8 @@ class ByteBPE:
             by_id[k] = piece
         return by_id
 
-    def decode(self, encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        """(id, ids) -> id, ids, decoded (binary). Null ids decode to no bytes; an id outside the vocabulary fails."""
-        pieces = docs_broadcast(encoded, self.pieces())
+    def _decoder(self, df: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        pieces = df.sparkSession.sparkContext.broadcast(self.pieces())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.array(pieces.value, pa.large_binary())
@@ -168,13 +182,12 @@ class ByteBPE:
                     taken, at = joined(table, part["ids"])
                     yield pa.record_batch([part["id"], part["ids"], pa.array([taken[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "ids", "decoded"])
 
-        kind = encoded.schema[id_col].dataType
-        out = StructType([StructField("id", kind), StructField("ids", ArrayType(IntegerType())), *StructType.fromDDL("decoded binary")])
-        return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, out).withColumnRenamed("id", id_col)
-
+        return run
 
-def docs_broadcast(df: DataFrame, value: object):
-    return df.sparkSession.sparkContext.broadcast(value)
+    def decode(self, encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """(id, ids) -> id, ids, decoded (binary). Null ids decode to no bytes; an id outside the vocabulary fails."""
+        out = StructType([StructField("id", encoded.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), *StructType.fromDDL("decoded binary")])
+        return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(self._decoder(encoded), out).withColumnRenamed("id", id_col)
 
 
 def joined(table: pa.Array, lists: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -200,5 +213,5 @@ def digest_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     kind = decoded.schema[id_col].dataType
-    out = StructType([StructField("id", kind), *StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string")])
+    out = StructType([StructField("id", kind), *StructType.fromDDL(DIGESTS)])
     return decoded.select(F.col(id_col).alias("id"), "ids", "decoded").mapInArrow(digest_lists, out).withColumnRenamed("id", id_col)

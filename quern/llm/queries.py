@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import ByteBPE, digests, read_ranks
+from .bpe import ByteBPE, read_ranks
 from .common import read
 from .exact_dedup import exact_dedup
 from .langid import language_id
@@ -27,7 +27,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = ByteBPE(read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
-    return digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))))
+    return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
