@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import bytesfn, chunking
+from .functions import bytesfn, chunking, codecs
 from .operators import models
 from .plans import views
 
@@ -413,3 +413,18 @@ def m9_attrs(spark, sf_dir):
 @query("r12_elements", "SELECT vec_id, unnest(range(len(embedding))) AS idx, unnest(embedding) AS value FROM embeddings", logs=False)
 def r12_elements(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "value")).select("vec_id", F.col("idx").cast("long").alias("idx"), "value")
+
+
+@query("c2_zstd_roundtrip", "SELECT seq, content_hash FROM l3")
+def c2_zstd_roundtrip(spark, sf_dir):
+    back = l3(spark, sf_dir).select("seq", codecs.unzstd(codecs.zstd(F.col("payload").cast("binary"))).alias("data"))
+    return back.select("seq", F.md5("data").alias("content_hash"))
+
+
+@query("b4_float_narrowing")
+def b4_float_narrowing(spark, sf_dir):
+    @F.pandas_udf("array<int>")
+    def halves(rows):
+        return rows.map(lambda x: codecs.narrow_half(x).astype("i4").tolist())
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", halves("embedding").alias("bits"))

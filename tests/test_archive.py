@@ -140,3 +140,15 @@ def test_streaming_is_exactly_once(spark, path, tmp_path):
         before = a.toc().count()
         a.append(rows, batch=("ingest", 0))
         assert a.toc().count() == before == 9
+
+
+def test_command_line(spark, path, capsys):
+    from quern import cli
+
+    with compat.Database(spark, path, "w") as db:
+        db["a/b"] = np.arange(3)
+        db["a/b"] = np.arange(4)
+    assert cli.main(["info", path]) == 0 and "'live_entries': 2" in capsys.readouterr().out
+    assert cli.main(["compact", path]) == 0 and cli.main(["verify", path]) == 0 and cli.main(["tree", path, "--prefix", "a/"]) == 0
+    out = capsys.readouterr().out
+    assert "'kept': 1" in out and "0 corrupted" in out and "'path': 'a/b'" in out

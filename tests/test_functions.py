@@ -136,3 +136,24 @@ def test_range_exists(spark):
 def test_vectorised_batch(spark):
     rows = spark.createDataFrame([(10, 100 * 1024), (32, 5 * 1024 * 1024)], "n int, b long").select(models.vectorised_batch(F.col("n"), F.col("b")).alias("v"))
     assert [r.v for r in rows.collect()] == [False, True]
+
+
+def test_zstd_with_dictionary(spark):
+    from quern.functions import codecs
+
+    df = spark.createDataFrame([(bytearray(f"record {i} of the same shape; value={i * 7}".encode() * 3),) for i in range(400)] + [(None,)], "x binary")
+    dictionary = codecs.train_dictionary(df, "x", 1024)
+    back = df.withColumn("z", codecs.zstd(F.col("x"), 99, dictionary)).withColumn("y", codecs.unzstd(F.col("z"), dictionary))
+    assert back.filter("NOT (x <=> y)").count() == 0 and back.filter("octet_length(z) < octet_length(x)").count() == 400
+    with pytest.raises(ValueError):
+        codecs.train_dictionary(df.limit(0), "x", 1024)
+
+
+def test_float_narrowing():
+    from quern.functions import codecs
+
+    x = np.array([0.0, -0.0, 1.0, -2.5, 65504.0, 1e6, -np.inf, np.nan, 1e-7, 3.14159], np.float32)
+    half = codecs.narrow_half(x).view(np.float16).astype(np.float32)
+    assert half[:5].tolist() == [0, 0, 1, -2.5, 65504] and np.isinf(half[5]) and half[6] == -np.inf and np.isnan(half[7]) and half[8] == 0 and half[9] == 3.140625
+    brain = (codecs.narrow_brain(x).astype(np.uint32) << 16).view(np.float32)
+    assert brain[2] == 1 and abs(brain[9] - 3.14159) < 0.02
