@@ -160,6 +160,12 @@ class ByteBPE:
         out = StructType([StructField("id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType()))])
         return self._folded(docs, id_col, text_col).mapInArrow(join_words, out).withColumnRenamed("id", id_col)
 
+    def encode_decode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """encode and decode in one Arrow step: id, ids, decoded (binary)."""
+        decode = self._decoder(docs)
+        out = StructType([StructField("id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), *StructType.fromDDL("decoded binary")])
+        return self._folded(docs, id_col, text_col).mapInArrow(lambda batches: decode(join_words(batches)), out).withColumnRenamed("id", id_col)
+
     def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """encode, decode and digests in one Arrow step: id, n_tokens, ids_sha256, decoded_sha256."""
         decode = self._decoder(docs)

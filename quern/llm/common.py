@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,13 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="quern-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 class Scratch:
     """Intermediate tables of one operator call, written under spark.checkpoint.dir.
 
@@ -41,8 +51,7 @@ class Scratch:
         if not root:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = tempfile.mkdtemp(prefix="quern-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            root = _local_root()
         self.spark, self.root = spark, f"{root.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
