@@ -31,7 +31,7 @@ P, SPAN, DECAY, BITS = 3, 6, 0.6, 15
 #: Units longer than this are scored in overlapping windows of it.
 WIDTH = 24
 #: Labelled documents that training takes at most (in expectation), by their id's hash; landmarks; examples of a class.
-MAX_TRAIN_DOCS, LANDMARKS, MAX_EXAMPLES = 8000, 384, 6000
+MAX_TRAIN_DOCS, LANDMARKS, MAX_EXAMPLES = 4000, 384, 6000
 #: Telling parts: lengths, least toxic documents, and how much oftener they occur in toxic documents.
 PARTS, LEAST_DOCS, RATIO = (4, 5, 6), 3, 30.0
 ROUNDS, STEPS, SLOPE = 4, 400, 6.0
@@ -148,9 +148,10 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int) -> tuple[np
 
 
 def fit(texts: list[str | None], labels: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
-    """(a weight for each subsequence bucket, bias)."""
+    """(a weight for each subsequence bucket, bias). Equal units are held once."""
     rng = np.random.default_rng(seed)
-    plain = lambda t: {u for u in map(letters_of, units(t)) if len(u) >= P}
+    pool: dict[str, str] = {}
+    plain = lambda t: {pool.setdefault(u, u) for u in map(letters_of, units(t)) if len(u) >= P}
     toxic = [plain(t) for t, y in zip(texts, labels, strict=True) if y]
     clean = [plain(t) for t, y in zip(texts, labels, strict=True) if not y]
     parts = telling_parts(toxic, clean)
