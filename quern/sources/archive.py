@@ -81,6 +81,7 @@ class Files:
 
 def typed_attr(value: object) -> dict:
     """A value as the typed union of schema.ATTR."""
+    value = bytes(value) if isinstance(value, bytearray) else value
     size = len(value.encode() if isinstance(value, str) else value) if isinstance(value, (str, bytes)) else 8
     if size > MAX_ATTR_BYTES:
         raise AttrTooLarge(f"{size} bytes")
@@ -233,6 +234,13 @@ class Archive:
     def __exit__(self, *_: object) -> None:
         self.close()
 
+    def set_attr(self, key: str, name: str, value: object) -> None:
+        """Write the key's last value again with one attribute changed; its chunks are stored already."""
+        row = self.get(key).first()
+        if row is None:
+            raise KeyNotFound(key)
+        self.put(key, bytes(row["data"]), row["dtype"], row["shape"], self.get_attrs(key) | {name: value}, row["retain"])
+
     def set_global_attr(self, name: str, value: str) -> None:
         self._writable()
         typed_attr(value)

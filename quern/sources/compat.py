@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.models import BATCH_BYTES, BATCH_ITEMS
+from ..operators.models import BATCH_BYTES, BATCH_ITEMS, next_keys
 from ..schema import DTYPES, InvalidDType, KeyNotFound
 from .archive import Archive
 
@@ -112,6 +113,27 @@ class Database:
     terminate = shutdown
 
 
+class BatchReader:
+    """Batch reads that keep the last HISTORY requests, from which the key after two others is predicted."""
+
+    HISTORY = 32
+
+    def __init__(self, db: Database):
+        self.db, self.requests = db, []
+
+    def get_batch(self, keys: list[str]) -> dict[str, np.ndarray]:
+        self.requests = [*self.requests, list(keys)][-self.HISTORY :]
+        return self.db.get_batch(keys)
+
+    def access(self) -> DataFrame:
+        rows = [(b, p, k) for b, request in enumerate(self.requests) for p, k in enumerate(request)]
+        return self.db.archive.spark.createDataFrame(rows, "batch long, pos long, key string")
+
+    def predict_next(self, first: str, second: str) -> str | None:
+        row = next_keys(self.access()).filter((F.col("key1") == first) & (F.col("key2") == second)).first()
+        return row["next_key"] if row else None
+
+
 def save(spark: SparkSession, path: str, value: object, key: str | None = None) -> None:
     """A dictionary under its keys, anything else under `key` or "data"."""
     with Database(spark, path, "a") as db:

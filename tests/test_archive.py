@@ -117,6 +117,8 @@ def test_attributes(spark, path):
             a.put("k", b"", "complex64")
         with pytest.raises(KeyNotFound):
             a.get_attrs("none")
+        a.set_attr("k", "n", 4)
+        assert a.get_attrs("k") == {"n": 4, "ok": True, "x": 0.5, "s": "t", "y": bytearray(b"\0")} and a.chunks().count() == 1
         a.set_global_attr("owner", "me")
         assert a.global_attrs() == {"owner": "me"}
 
@@ -152,3 +154,12 @@ def test_command_line(spark, path, capsys):
     assert cli.main(["compact", path]) == 0 and cli.main(["verify", path]) == 0 and cli.main(["tree", path, "--prefix", "a/"]) == 0
     out = capsys.readouterr().out
     assert "'kept': 1" in out and "0 corrupted" in out and "'path': 'a/b'" in out
+
+
+def test_batch_reader_predicts(spark, path):
+    with compat.Database(spark, path, "w") as db:
+        db.put_batch({k: np.arange(2) for k in "abc"})
+        reader = compat.BatchReader(db)
+        assert list(reader.get_batch(["c", "a", "missing", "b", "a"])) == ["c", "a", "b"]
+        reader.get_batch(["a", "b", "c", "a", "b"])
+        assert reader.predict_next("b", "c") == "a" and reader.predict_next("c", "c") is None
