@@ -100,7 +100,7 @@ def list_blocks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.R
 
 
 #: Words whose hashes a task remembers.
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 17
 
 
 class WordHashes(dict):

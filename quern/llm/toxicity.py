@@ -35,7 +35,7 @@ MAX_TRAIN_DOCS, LANDMARKS, MAX_EXAMPLES = 4000, 384, 6000
 #: Telling parts: lengths, least toxic documents, and how much oftener they occur in toxic documents.
 PARTS, LEAST_DOCS, RATIO = (4, 5, 6), 3, 30.0
 ROUNDS, STEPS, SLOPE = 4, 400, 6.0
-UNITS_KEPT = 1 << 19
+UNITS_KEPT = 1 << 18
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
 _OTHER = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
