@@ -40,6 +40,8 @@ DEVIATIONS = 5.0
 #: Hubs of a list in each round before the closing comparison.
 HUBS = (1, 8)
 MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Spark orders longs as signed.
+SIGN = np.uint64(1 << 63)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -56,6 +58,11 @@ def shingle_set(text: str | None, known: WordHashes, n: int = SHINGLE) -> np.nda
     return np.unique(out)
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """The smallest values of a sorted set as longs of the same order: the highest bit is flipped."""
+    return (s[:SKETCH] ^ SIGN).view(np.int64)
+
+
 def min_shared(k: int, threshold: int) -> int:
     """Values that the sketches of two sets at the threshold (in hundredths) share at least, but for rare chance."""
     j = threshold / 100
@@ -75,7 +82,7 @@ def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
                     sizes.append(len(s))
                     a.append(xxh3_64_intdigest(s.tobytes(), 1) - (1 << 63))
                     b.append(xxh3_64_intdigest(s.tobytes(), 2) - (1 << 63))
-                    sketches.append(s[:SKETCH].view(np.int64))
+                    sketches.append(sketch_of(s))
                 ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
                 yield pa.record_batch({"id": part["id"], "n_shingles": pa.array(sizes, pa.int64()), "set_a": pa.array(a, pa.int64()), "set_b": pa.array(b, pa.int64()), "sketch": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64), pa.int64()))})
 

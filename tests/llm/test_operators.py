@@ -284,6 +284,19 @@ def test_near_dedup_clusters(spark):
     assert len(set(want.values())) < 140 and {x.doc_id: x.component_id for x in got} == want
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_dedup_links_contained_texts(spark, threshold):
+    """Sets of 66 to 150 shingles, the smaller inside the larger, at or just above the threshold."""
+    r = random.Random(threshold)
+    texts = []
+    for k in range(900):
+        union = 84 + k % 67
+        words = [f"{k}-{r.getrandbits(40)}" for _ in range(union + 4)]
+        texts += [" ".join(words), " ".join(words[: -(-union * threshold // 100) + 4])]
+    got = near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold).collect()
+    assert {x.doc_id: x.component_id for x in got} == {k: k - k % 2 for k in range(len(texts))}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
