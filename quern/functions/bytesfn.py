@@ -42,40 +42,48 @@ def auto_select(empty: Column, floor: Column, is_float: Column, correlated: Colu
     return F.when(empty, pair("raw", "none", 0)).when(floor >= 200, pair("lz4", "none", 1)).when(is_float, floats).otherwise(others)
 
 
-def _byte(data: Column, i: Column) -> Column:
-    return F.substring(data, i, F.lit(1))
+def byte_shuffle_of(data: bytes, width: int) -> bytes:
+    n = len(data) // width * width
+    return np.frombuffer(data, np.uint8, n).reshape(-1, width).T.tobytes() + data[n:]
 
 
-def _gather(data: Column, n: Column, source) -> Column:
-    """The bytes of `data` at source(i) (from 0) for i below n, as hexadecimal."""
-    return F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.hex(_byte(data, source(i).cast("int") + 1))), "")
+def byte_unshuffle_of(data: bytes, width: int) -> bytes:
+    n = len(data) // width * width
+    return np.frombuffer(data, np.uint8, n).reshape(width, -1).T.tobytes() + data[n:]
 
 
 def byte_shuffle(data: Column, width: int) -> Column:
     """Bytes of equal place in their elements together; a tail shorter than an element stays; binary to binary."""
-    if width <= 1:
-        return data
-    size = F.octet_length(data)
-    n = F.floor(size / width).cast("int")
-    head = _gather(data, n * width, lambda i: F.pmod(i, n) * width + F.floor(i / n))
-    return F.unhex(F.concat(head, F.hex(F.substring(data, n * width + 1, size))))
+    return data if width <= 1 else _bytes_udf(lambda x: byte_shuffle_of(x, width))(data)
 
 
 def byte_unshuffle(data: Column, width: int) -> Column:
-    if width <= 1:
-        return data
-    size = F.octet_length(data)
-    n = F.floor(size / width).cast("int")
-    head = _gather(data, n * width, lambda i: F.pmod(i, F.lit(width)) * n + F.floor(i / width))
-    return F.unhex(F.concat(head, F.hex(F.substring(data, n * width + 1, size))))
+    return data if width <= 1 else _bytes_udf(lambda x: byte_unshuffle_of(x, width))(data)
 
 
-def bit_shuffle_of(data: bytes) -> bytes:
-    return np.packbits(np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").reshape(-1, 8).T.reshape(-1), bitorder="little").tobytes()
+#: The bits of each byte, least significant first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
 
-def bit_unshuffle_of(data: bytes) -> bytes:
-    return np.packbits(np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").reshape(8, -1).T.reshape(-1), bitorder="little").tobytes()
+def _room(data: bytes, room: np.ndarray | None) -> np.ndarray:
+    return np.empty(8 * len(data), np.uint8) if room is None else room[: 8 * len(data)]
+
+
+def bit_shuffle_of(data: bytes, room: np.ndarray | None = None) -> bytes:
+    """`room` takes the bits, a byte each, so that texts of a batch need not allocate it anew."""
+    x, bits = np.frombuffer(data, np.uint8), _room(data, room)
+    for p, plane in enumerate(bits.reshape(8, -1)):
+        np.bitwise_and(x >> np.uint8(p), 1, out=plane)
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def bit_unshuffle_of(data: bytes, room: np.ndarray | None = None) -> bytes:
+    bits = _room(data, room)
+    np.take(_BITS, np.frombuffer(data, np.uint8), axis=0, out=bits.reshape(-1, 8), mode="clip")
+    out = np.zeros(len(data), np.uint8)
+    for p, plane in enumerate(bits.reshape(8, -1)):
+        out |= plane << np.uint8(p)
+    return out.tobytes()
 
 
 def _bytes_udf(function):
@@ -86,13 +94,22 @@ def _bytes_udf(function):
     return run
 
 
+def _bits_udf(function):
+    @F.pandas_udf("binary")
+    def run(parts: pd.Series) -> pd.Series:
+        room = np.empty(8 * max((len(x) for x in parts if x is not None), default=0), np.uint8)
+        return parts.map(lambda x: None if x is None else function(x, room))
+
+    return run
+
+
 def bit_shuffle(data: Column) -> Column:
     """Bit p of byte i goes to bit p * n + i, least significant first."""
-    return _bytes_udf(bit_shuffle_of)(data)
+    return _bits_udf(bit_shuffle_of)(data)
 
 
 def bit_unshuffle(data: Column) -> Column:
-    return _bytes_udf(bit_unshuffle_of)(data)
+    return _bits_udf(bit_unshuffle_of)(data)
 
 
 def zigzag(delta: Column) -> Column:

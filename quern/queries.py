@@ -310,6 +310,26 @@ def f3_bit_shuffle(spark, sf_dir):
     return _prefix(spark, sf_dir).select("seq", F.hex(bytesfn.bit_unshuffle(bytesfn.bit_shuffle(F.col("data")))).alias("data"))
 
 
+def _whole(spark, sf_dir):
+    return l3(spark, sf_dir).select("seq", F.col("payload").cast("binary").alias("data"))
+
+
+@query("f1_byte_shuffle_whole")
+def f1_byte_shuffle_whole(spark, sf_dir):
+    return _whole(spark, sf_dir).select("seq", F.hex(bytesfn.byte_shuffle(F.col("data"), 4)).alias("shuffled"))
+
+
+@query("f2_unshuffle_whole", "SELECT seq, hex(encode(payload)) AS data FROM l3")
+def f2_unshuffle_whole(spark, sf_dir):
+    shuffled = _whole(spark, sf_dir).select("seq", bytesfn.byte_shuffle(F.col("data"), 4).alias("data"))
+    return shuffled.select("seq", F.hex(bytesfn.byte_unshuffle(F.col("data"), 4)).alias("data"))
+
+
+@query("f3_bit_shuffle_whole", "SELECT seq, hex(encode(payload)) AS data FROM l3")
+def f3_bit_shuffle_whole(spark, sf_dir):
+    return _whole(spark, sf_dir).select("seq", F.hex(bytesfn.bit_unshuffle(bytesfn.bit_shuffle(F.col("data")))).alias("data"))
+
+
 @query("c5_xor_float_roundtrip", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total, CAST(len(embedding) AS INTEGER) AS n FROM embeddings", logs=False)
 def c5_xor_float_roundtrip(spark, sf_dir):
     code = table(spark, sf_dir, "embeddings").select("vec_id", chunking.xor_encoded(chunking.float_bytes(F.col("embedding"))).alias("code"))

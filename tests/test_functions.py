@@ -157,3 +157,16 @@ def test_float_narrowing():
     assert half[:5].tolist() == [0, 0, 1, -2.5, 65504] and np.isinf(half[5]) and half[6] == -np.inf and np.isnan(half[7]) and half[8] == 0 and half[9] == 3.140625
     brain = (codecs.narrow_brain(x).astype(np.uint32) << 16).view(np.float32)
     assert brain[2] == 1 and abs(brain[9] - 3.14159) < 0.02
+
+
+def test_shuffles_of_whole_texts(spark, tmp_path):
+    """Every byte of a text is shuffled, by brute force."""
+    from quern import queries as q
+
+    texts = {1: "naïve " * 900 + "end", 2: "x" * 199 + "öé", 3: "", 4: None, 5: "abc", 6: "".join(chr(33 + k % 90) for k in range(30_001))}
+    spark.createDataFrame([(k, t, "en", "s") for k, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    data = {k: None if t is None else t.encode() for k, t in texts.items()}
+    run = lambda name, column: {r.seq: None if r[column] is None else bytes.fromhex(r[column]) for r in q.QUERIES[name](spark, str(tmp_path)).collect()}
+    tail = lambda x: x[len(x) // 4 * 4 :]
+    assert run("f1_byte_shuffle_whole", "shuffled") == {k: None if x is None else b"".join(x[: len(x) // 4 * 4][b::4] for b in range(4)) + tail(x) for k, x in data.items()}
+    assert run("f2_unshuffle_whole", "data") == run("f3_bit_shuffle_whole", "data") == data
