@@ -1,17 +1,19 @@
 """A corpus pipeline of the training-data operators, stage by stage.
 
 Every stage takes the documents that its predecessor kept (columns doc_id, text, lang, source, n_chars; others pass
-through the first four stages) and is judged by itself. Rows that repeat an id stay or go together. Empty tables pass.
+through the first four stages) and is judged by itself. Rows are told apart by a number of their own, not by doc_id:
+each of the rows that repeat an id, or have none, is a document. A null id comes last where the smallest id decides, and
+of rows with one id the first as read. A null text counts as empty, a null source is a source. Empty tables pass.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import ByteBPE, read_ranks
-from quern.llm.common import fold
+from quern.llm.common import Scratch, fold, text_of
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.langid import identify, train
 from quern.llm.mixing import mix
@@ -22,6 +24,18 @@ from quern.llm.queries import VOCABULARY
 LEAST_SCORE = 0.5
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a unique _row, written so that every reading has the same numbers."""
+    return Scratch(docs.sparkSession, name).keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _one_each(docs: DataFrame, groups: DataFrame, columns: list[str], *before_id: Column) -> DataFrame:
+    """Of each group of rows (_row, group) the first by `before_id`, then by doc_id."""
+    order = docs.select("_row", F.struct(*before_id, F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("order"))
+    first = groups.join(order.hint("merge"), "_row").groupBy("group").agg(F.min("order").alias("first")).select("first._row")
+    return docs.join(first.hint("merge"), "_row", "left_semi").select(*columns)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without letters or of uncertain language; a null lang takes the language found."""
     model = train(docs, ~fold("doc_id", 4, 2))
@@ -31,20 +45,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal without white space, keep the one with the longest text."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    rows = _numbered(docs, "exact-stage")
+    groups = exact_dedup(rows, id_col="_row").select("_row", F.col("keep_id").alias("group"))
+    return _one_each(rows, groups, docs.columns, (-F.char_length(text_of())).alias("shorter"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity of 0.8 or more) keep the document of least id."""
-    kept = near_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    rows = _numbered(docs, "near-stage")
+    groups = near_dedup(rows, id_col="_row").select("_row", F.col("component_id").alias("group"))
+    return _one_each(rows, groups, docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix has copies of it."""
-    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies.hint("merge"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    rows = _numbered(docs, "mixing-stage")
+    copies = mix(rows, row_col="_row").filter("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
+    taken = rows.join(copies.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*docs.columns)
 
 

@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import queries
@@ -53,3 +54,49 @@ def test_matches_sql(spark, name):
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     assert sorted(tuple(str(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_ids(spark, rows):
+    return spark.createDataFrame([(k, t, "en", s, 0) for k, t, s in rows], SCHEMA)
+
+
+def texts(df):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in df.collect())
+
+
+def test_exact_stage_with_null_and_repeated_ids(spark):
+    rows = [(None, "a  b c"), (5, "a b c"), (6, "abc"), (7, "x y"), (7, "x y"), (None, "x y"), (None, "one"), (None, "two"), (8, "p q"), (8, "p r"), (None, None), (9, " ")]
+    got = corpus_pipeline.exact_stage(spark, odd_ids(spark, [(*r, "s") for r in rows]), SF)
+    assert texts(got) == [(-1, "a  b c"), (-1, "one"), (-1, "two"), (7, "x y"), (8, "p q"), (8, "p r"), (9, " ")]
+
+
+def test_near_stage_with_null_and_repeated_ids(spark):
+    base = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(5)]
+    near = [b + " end" for b in base]
+    rows = [(None, base[0]), (3, near[0]), (None, base[1]), (None, near[1]), (4, base[2]), (4, near[2]), (4, base[3]), (None, base[4]), (9, near[3]), (None, None)]
+    got = corpus_pipeline.near_stage(spark, odd_ids(spark, [(*r, "s") for r in rows]).coalesce(1), SF)
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(map(str, found)) == sorted(map(str, [(3, near[0]), (None, base[1]), (4, base[2]), (4, base[3]), (None, base[4]), (None, None)]))
+
+
+def test_mixing_stage_with_null_and_repeated_ids(spark):
+    rows = [((None, 1, 1, k)[k % 4], "w " * (k % 7 + 1) + str(k), ("a", "b", None)[k % 3]) for k in range(120)]
+    docs = odd_ids(spark, rows)
+    got = [(r.source, len(r.text.split())) for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect()]
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("a", "b", None)}
+    target = {r.source_size: r.target for r in corpus_pipeline.mix(docs).collect()}
+    assert len(set(sizes.values())) == 3
+    for s, size in sizes.items():
+        assert abs(sum(n for x, n in got if x == s) - target[size]) <= 8 + 1e-6
+
+
+def test_row_stages_with_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = corpus_pipeline.language_stage(spark, docs.limit(0).unionByName(docs), SF).count()
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 4 != 2, F.col("doc_id") % 2))
+    got = corpus_pipeline.language_stage(spark, odd, SF)
+    assert got.filter("doc_id IS NULL").count() > 0 and abs(got.count() - want) <= 5
+    assert corpus_pipeline.encoding_stage(spark, odd.limit(20), SF).count() == 20
