@@ -90,7 +90,7 @@ def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(node, text) -> node, set_a, members: the full set."""
+    """(id, text) -> id, set_a, set_b, members: the full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -98,10 +98,10 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
             for part in row_blocks(batch, "text"):
                 sets = [shingle_set(t, known, n).view(np.int64) for t in part["text"].to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                a = [xxh3_64_intdigest(x.tobytes(), 1) - (1 << 63) for x in sets]
-                yield pa.record_batch({"node": part["node"], "set_a": pa.array(a, pa.int64()), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64()))})
+                a, b = ([xxh3_64_intdigest(x.tobytes(), seed) - (1 << 63) for x in sets] for seed in (1, 2))
+                yield pa.record_batch({"id": part["id"], "set_a": pa.array(a, pa.int64()), "set_b": pa.array(b, pa.int64()), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64()))})
 
-    return docs.select("node", "text").mapInArrow(run, "node long, set_a long, members array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, set_a long, set_b long, members array<long>")
 
 
 def enough(shared: Column, left_n: Column, right_n: Column, threshold: int) -> Column:
@@ -129,10 +129,9 @@ class NearDuplicates:
         self.docs, self.threshold, self.shingle = docs, threshold, shingle
         self.scratch = Scratch(docs.sparkSession, "near")
         self.rows = self.scratch.keep(sketch_rows(docs, shingle), "rows")
-        # A class is named by its smallest id; the table of classes has one row for each distinct set.
-        pick = self.rows.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-        pick = pick.groupBy("node").agg(F.min_by(F.struct("set_a", "set_b", "n", "sketch"), F.struct("set_a", "set_b")).alias("of")).select("node", "of.*")
-        self.classes = self.scratch.keep(pick, "classes")
+        # A class is a distinct set; it has a number of its own (node) and its smallest id, which classes may share.
+        pick = self.rows.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        self.classes = self.scratch.keep(pick.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def postings(self) -> DataFrame:
         """(value, node, n): the rarest retained values of each class that other classes retain too."""
@@ -150,9 +149,9 @@ class NearDuplicates:
 
     def read_sets(self, nodes: DataFrame) -> DataFrame:
         """(node) -> node, members: the full sets of these classes, from their texts."""
-        wanted = self.scratch.keep(nodes.distinct(), "wanted")
-        texts = self.docs.select(F.col("id").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi")
-        sets = set_rows(texts, self.shingle).join(self.classes.select("node", "set_a"), ["node", "set_a"], "left_semi")
+        wanted = self.scratch.keep(self.classes.join(nodes.distinct(), "node").select("node", "id", "set_a", "set_b"), "wanted")
+        texts = self.docs.select("id", "text").join(wanted.select("id").distinct().hint("merge"), "id", "left_semi")
+        sets = set_rows(texts, self.shingle).join(wanted, ["id", "set_a", "set_b"])
         return self.scratch.keep(sets.dropDuplicates(["node"]).select("node", "members"), "sets")
 
     def measured(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -213,8 +212,10 @@ class NearDuplicates:
     def result(self) -> DataFrame:
         """id, n_shingles, component_id of every row."""
         roots = self.roots()
-        named = self.classes.select("set_a", "set_b", "node").join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("component_id"))
-        named = self.scratch.keep(named, "named")
+        rooted = self.classes.select("set_a", "set_b", "node", "id").join(roots, "node", "left").select("set_a", "set_b", "id", F.coalesce("root", "node").alias("root"))
+        rooted = self.scratch.keep(rooted, "rooted")
+        least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+        named = self.scratch.keep(rooted.join(least, "root").select("set_a", "set_b", "component_id"), "named")
         return self.rows.join(named, ["set_a", "set_b"], "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -223,8 +224,7 @@ def near_dedup(docs: DataFrame, threshold: int = 80, shingle: int = SHINGLE, id_
 
     Documents are linked when threshold hundredths of the union of their shingle sets are shared; component_id is the
     smallest id reachable. Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows get
-    equal results. Where rows repeat an id with other texts, one set (the smallest by hash) stands for that id, and rows
-    with the id's other sets are linked with nothing. A null id counts as -1. Other columns are ignored. An empty table
+    equal results. Rows that repeat an id with other texts are linked by their own texts each. A null id counts as -1. Other columns are ignored. An empty table
     gives an empty result.
     """
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), text_of(text_col).alias("text"))

@@ -297,6 +297,15 @@ def test_near_dedup_links_contained_texts(spark, threshold):
     assert {x.doc_id: x.component_id for x in got} == {k: k - k % 2 for k in range(len(texts))}
 
 
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    base = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(5)]
+    near = [b + " end" for b in base]
+    rows = [(None, base[0]), (3, near[0]), (None, base[1]), (4, base[1]), (5, base[2]), (5, base[3]), (6, near[3]), (7, near[2]), (8, base[4]), (None, "")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    want = {base[0]: -1, near[0]: -1, base[1]: -1, base[2]: 5, near[2]: 5, base[3]: 5, near[3]: 5, base[4]: 8, "": -1}
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((-1 if k is None else k, want[t]) for k, t in rows)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
