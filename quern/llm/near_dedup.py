@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct word shingles. One hash
 are the sketch. Documents with equal sets form a class at once; from there on only one document of a class takes part.
 
 Candidates come from inverted lists of retained values. Two sets with the wanted similarity share at least MIN_SHARED
-of their k values (all but about 3e-7 of pairs at the threshold, fewer above; for sets of at most k the bound is exact), so they meet in a list even
+of their k values (all but CHANCE of pairs at the threshold, fewer above; for sets of at most k the bound is exact), so they meet in a list even
 if each posts only its k - MIN_SHARED + 1 rarest values. Values that one class alone retains fill places in that
 order but need no list, which keeps the values of passages that many documents share out of the lists of all documents
 that hold enough else.
@@ -22,6 +22,7 @@ from the texts and decide.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from .components import components
 ship(__name__)
 
 SKETCH, SHINGLE = 64, 5
-#: Standard deviations below the mean overlap of two sketches at the threshold.
-DEVIATIONS = 5.0
+#: The most chance that the sketches of a pair at the threshold share less than is asked of them.
+CHANCE = 3e-7
 #: Hubs of a list in each round before the closing comparison.
 HUBS = (1, 8)
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -65,8 +66,11 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
 
 def min_shared(k: int, threshold: int) -> int:
     """Values that the sketches of two sets at the threshold (in hundredths) share at least, but for rare chance."""
-    j = threshold / 100
-    return max(1, int(np.floor(k * j - DEVIATIONS * np.sqrt(k * j * (1 - j)))))
+    j, t, below = threshold / 100, 0, 0.0
+    # The tail of k draws with replacement; without, as sketches are drawn, less is in it.
+    while t < k and (below := below + comb(k, t) * j**t * (1 - j) ** (k - t)) <= CHANCE:
+        t += 1
+    return max(1, t)
 
 
 def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
@@ -116,7 +120,7 @@ def _estimated(threshold: int):
     shared = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
     j = threshold / 100
     whole = F.greatest("n_a", "n_b") <= SKETCH
-    least = F.when(whole & (size < SKETCH), size * j).otherwise(size * j - DEVIATIONS * F.sqrt(size * (j * (1 - j))))
+    least = F.when(whole & (size < SKETCH), size * j).otherwise(F.lit(min_shared(SKETCH, threshold)))
     lengths = F.lit(100) * F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
     return lengths & (shared + 1e-9 >= least)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -306,6 +308,17 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((-1 if k is None else k, want[t]) for k, t in rows)
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_dedup_bound_is_the_exact_tail(spark, threshold):
+    j, least = Fraction(threshold, 100), near_dedup.min_shared(64, threshold)
+    tail = lambda t: sum(math.comb(64, k) * j**k * (1 - j) ** (64 - k) for k in range(t))
+    assert tail(least) <= 3e-7 < tail(least + 1)
+    pair = lambda shared: (list(range(64)), list(range(shared)) + list(range(100, 164 - shared)), 1000, 1000)
+    rows = spark.createDataFrame([pair(64 - (64 - s) // 2) for s in range(64)], "sketch_a array<long>, sketch_b array<long>, n_a long, n_b long")
+    union = [len(set(sorted({*r.sketch_a, *r.sketch_b})[:64]) & {*r.sketch_a} & {*r.sketch_b}) for r in rows.collect()]
+    assert rows.filter(near_dedup._estimated(threshold)).count() == sum(n >= least for n in union)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
