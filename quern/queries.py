@@ -224,8 +224,15 @@ def s23_tree_rollup(spark, sf_dir):
 
 @query("s24_verify")
 def s24_verify(spark, sf_dir):
-    chunks = l3(spark, sf_dir).select("key", F.col("payload").cast("binary").alias("payload")).withColumn("crc32", F.crc32("payload"))
-    return chunks.groupBy().agg(F.count("*").alias("chunks"), F.count_if(F.crc32("payload") != F.col("crc32")).alias("bad"))
+    from .llm.common import Scratch
+
+    chunks = l3(spark, sf_dir).select("key", F.col("payload").cast("binary").alias("payload"))
+    return verified(Scratch(spark, "verify").keep(chunks.withColumn("crc32", F.crc32("payload")), "chunks"))
+
+
+def verified(stored: DataFrame) -> DataFrame:
+    """Number of stored chunks (payload, crc32), and of those that the checksum finds damaged."""
+    return stored.agg(F.count("*").alias("chunks")).join(views.checked(stored).agg(F.count("*").alias("bad")))
 
 
 @query("s26_logical_bytes", "SELECT count(*) AS entries, CAST(sum(64 * 4) AS BIGINT) AS logical_bytes FROM embeddings")

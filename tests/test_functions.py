@@ -170,3 +170,15 @@ def test_shuffles_of_whole_texts(spark, tmp_path):
     tail = lambda x: x[len(x) // 4 * 4 :]
     assert run("f1_byte_shuffle_whole", "shuffled") == {k: None if x is None else b"".join(x[: len(x) // 4 * 4][b::4] for b in range(4)) + tail(x) for k, x in data.items()}
     assert run("f2_unshuffle_whole", "data") == run("f3_bit_shuffle_whole", "data") == data
+
+
+def test_verify_finds_a_damaged_chunk(spark, tmp_path, monkeypatch):
+    from quern import queries as q
+    from quern.llm.common import Scratch
+
+    spark.createDataFrame([(k, f"text {k}", "en", "s") for k in range(5)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert q.s24_verify(spark, str(tmp_path)).collect() == [(5, 0)]
+    keep = Scratch.keep
+    damaged = F.when(F.col("key").endswith("/3"), F.lit("other").cast("binary")).otherwise(F.col("payload"))
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: keep(self, df, name).withColumn("payload", damaged))
+    assert q.s24_verify(spark, str(tmp_path)).collect() == [(5, 1)]
