@@ -6,9 +6,8 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.models import BATCH_BYTES, BATCH_ITEMS, next_keys
+from ..operators.models import BATCH_BYTES, BATCH_ITEMS
 from ..schema import DTYPES, InvalidDType, KeyNotFound
 from .archive import Archive
 
@@ -114,15 +113,16 @@ class Database:
 
 
 class BatchReader:
-    """Batch reads that keep the last HISTORY requests, from which the key after two others is predicted."""
+    """Batch reads that keep the last HISTORY requests, and what was learned from all: the last key after two others."""
 
     HISTORY = 32
 
     def __init__(self, db: Database):
-        self.db, self.requests = db, []
+        self.db, self.requests, self.learned = db, [], {}
 
     def get_batch(self, keys: list[str]) -> dict[str, np.ndarray]:
         self.requests = [*self.requests, list(keys)][-self.HISTORY :]
+        self.learned.update(((a, b), c) for a, b, c in zip(keys, keys[1:], keys[2:]))
         return self.db.get_batch(keys)
 
     def access(self) -> DataFrame:
@@ -130,8 +130,7 @@ class BatchReader:
         return self.db.archive.spark.createDataFrame(rows, "batch long, pos long, key string")
 
     def predict_next(self, first: str, second: str) -> str | None:
-        row = next_keys(self.access()).filter((F.col("key1") == first) & (F.col("key2") == second)).first()
-        return row["next_key"] if row else None
+        return self.learned.get((first, second))
 
 
 def save(spark: SparkSession, path: str, value: object, key: str | None = None) -> None:

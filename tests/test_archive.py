@@ -163,3 +163,14 @@ def test_batch_reader_predicts(spark, path):
         assert list(reader.get_batch(["c", "a", "missing", "b", "a"])) == ["c", "a", "b"]
         reader.get_batch(["a", "b", "c", "a", "b"])
         assert reader.predict_next("b", "c") == "a" and reader.predict_next("c", "c") is None
+
+
+def test_prediction_outlives_the_kept_requests():
+    from types import SimpleNamespace
+
+    from quern.sources.compat import BatchReader
+
+    reader = BatchReader(SimpleNamespace(get_batch=lambda keys: {}))
+    for keys in (["a", "b", "c"], *([f"x{k}", "y", "z"] for k in range(40)), ["p", "q"]):
+        reader.get_batch(keys)
+    assert len(reader.requests) == 32 and reader.predict_next("a", "b") == "c" and reader.predict_next("p", "q") is None
