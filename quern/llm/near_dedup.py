@@ -9,11 +9,14 @@ if each posts only its k - MIN_SHARED + 1 rarest values. Values that one class a
 order but need no list, which keeps the values of passages that many documents share out of the lists of all documents
 that hold enough else.
 
-Within a list not all pairs are compared. A round compares members with a few hubs, verifies the pairs and contracts
-linked classes to components; lists that lie in one component are finished. Then, in lists with several components left,
-members outside the largest one are compared with all members of other components, which makes the components exact.
-What both members of a pair share with the first hub of their list bounds what they share with each other; pairs that
-the bound rules out are not read.
+Within a list not all pairs are compared. Each list's hub, its most typical member, is compared with all others, and
+linked classes are contracted to components; lists that lie in one component are finished. Where components are left,
+members meet on their difference from the hub instead: with D(x) the values that only one of x and its hub holds,
+    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
+and a link needs |x ^ y| <= (n_x + n_y) (100 - threshold) / (100 + threshold). So linked members share a known number of
+values of their differences, one at least unless both are linked to the hub. They meet in inverted lists of the rarest
+of these (per hub), where what is left of both bounds the overlap. Edits that one class alone has are in no list, so
+near copies below the threshold, however many, rarely meet at all.
 
 A pair counts as a candidate after the sketch of its union estimates enough similarity; its full sets are then read
 from the texts and decide.
@@ -38,8 +41,6 @@ ship(__name__)
 SKETCH, SHINGLE = 64, 5
 #: The most chance that the sketches of a pair at the threshold share less than is asked of them.
 CHANCE = 3e-7
-#: Hubs of a list in each round before the closing comparison.
-HUBS = (1, 8)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Spark orders longs as signed.
 SIGN = np.uint64(1 << 63)
@@ -131,6 +132,8 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, threshold: int, shingle: int):
         """docs: id, text."""
         self.docs, self.threshold, self.shingle = docs, threshold, shingle
+        #: Linked sets differ in at most `slack` times the sum of their sizes.
+        self.slack = (100 - threshold) / (100 + threshold)
         self.scratch = Scratch(docs.sparkSession, "near")
         self.rows = self.scratch.keep(sketch_rows(docs, shingle), "rows")
         # A class is a distinct set; it has a number of its own (node) and its smallest id, which classes may share.
@@ -138,80 +141,101 @@ class NearDuplicates:
         self.classes = self.scratch.keep(pick.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def postings(self) -> DataFrame:
-        """(value, node, n): the rarest retained values of each class that other classes retain too."""
+        """(value, node, n, typical): the rarest retained values of each class that other classes retain too."""
         each = self.classes.select("node", F.size("sketch").alias("kept"), "n", F.explode("sketch").alias("value"))
         shared = self.scratch.keep(each.groupBy("value").count().filter("count > 1"), "shared")
         common = self.scratch.keep(each.join(shared, "value"), "common")
         t = min_shared(SKETCH, self.threshold)
         exact = F.col("kept") - F.ceil(F.col("n") * F.lit(self.threshold) / 100) + 1
         places = F.when(F.col("n") <= SKETCH, F.greatest(exact, F.col("kept") - t + 1)).otherwise(F.lit(SKETCH - t + 1))
-        ranked = common.groupBy("node").agg(F.first("kept").alias("kept"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("values"))
+        # Values that many retain make a class typical; whole numbers, so that sums don't depend on the order.
+        typical = F.sum((F.log2("count") * 1024).cast("long")).alias("typical")
+        ranked = common.groupBy("node").agg(F.first("kept").alias("kept"), F.first("n").alias("n"), typical, F.array_sort(F.collect_list(F.struct("count", "value"))).alias("values"))
         posted = ranked.withColumn("places", F.greatest(F.lit(0), places - (F.col("kept") - F.size("values")))).filter("places > 0")
-        out = self.scratch.keep(posted.select("node", "n", F.explode(F.slice("values", F.lit(1), F.col("places").cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node", "n"), "postings")
+        out = self.scratch.keep(posted.select("node", "n", "typical", F.explode(F.slice("values", F.lit(1), F.col("places").cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node", "n", "typical"), "postings")
         self.scratch.drop("shared", "common")
         return out
 
     def read_sets(self, nodes: DataFrame) -> DataFrame:
         """(node) -> node, members: the full sets of these classes, from their texts."""
         wanted = self.scratch.keep(self.classes.join(nodes.distinct(), "node").select("node", "id", "set_a", "set_b"), "wanted")
-        texts = self.docs.select("id", "text").join(wanted.select("id").distinct().hint("merge"), "id", "left_semi")
-        sets = set_rows(texts, self.shingle).join(wanted, ["id", "set_a", "set_b"])
+        ids = wanted.select(F.col("id").alias("wanted")).distinct()
+        texts = self.docs.select("id", "text").join(ids.hint("merge"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+        sets = set_rows(texts, self.shingle).drop("id").join(wanted.drop("id"), ["set_a", "set_b"])
         return self.scratch.keep(sets.dropDuplicates(["node"]).select("node", "members"), "sets")
 
-    def measured(self, pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, shared (members of both full sets), linked of the pairs (a, b) that their sketches leave possible."""
+    def side(self, name: str) -> DataFrame:
+        """The full sets, with columns named for one side of a pair."""
+        return self.sets.select(F.col("node").alias(name), F.col("members").alias(f"set_{name}"))
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The linked ones of the pairs (a, b)."""
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimated(self.threshold)).select("a", "b", "n_a", "n_b")
         likely = self.scratch.keep(likely, f"likely-{name}")
-        left, right = self.sets.select(F.col("node").alias("a"), F.col("members").alias("set_x")), self.sets.select(F.col("node").alias("b"), F.col("members").alias("set_y"))
-        both = likely.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_x", "set_y")))
-        out = self.scratch.keep(both.select("a", "b", "shared", enough(F.col("shared"), F.col("n_a"), F.col("n_b"), self.threshold).alias("linked")), f"pairs-{name}")
+        both = likely.join(self.side("a"), "a").join(self.side("b"), "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
+        out = self.scratch.keep(both.filter(enough(F.col("shared"), F.col("n_a"), F.col("n_b"), self.threshold)).select("a", "b"), f"links-{name}")
         self.scratch.drop(f"likely-{name}")
         return out
 
+    def alike(self, n: Column, m: Column) -> Column:
+        """Whether sets of these sizes can be linked."""
+        return F.lit(100) * F.least(n, m) >= F.lit(self.threshold) * F.greatest(n, m)
+
+    def rooted(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def open_lists(self, members: DataFrame, *key: str) -> DataFrame:
+        """(key, main): lists of members (key, root) that hold several roots, with the most frequent one."""
+        by_root = members.groupBy(*key, "root").count()
+        return by_root.groupBy(*key).agg(F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("main")).filter("roots > 1").drop("roots")
+
+    def difference_postings(self, dealt: DataFrame) -> DataFrame:
+        """(hub, node, n) -> hub, d, node, n, size, left: the rarest values d of the difference between a class and its
+        hub that others differ in too, with the difference's size and how many such values are left from d on."""
+        both = dealt.filter("node <> hub").join(self.side("node"), "node").join(self.side("hub"), "hub")
+        differ = both.select("hub", "node", "n", F.concat(F.array_except("set_node", "set_hub"), F.array_except("set_hub", "set_node")).alias("differ"))
+        differ = self.scratch.keep(differ.select("hub", "node", "n", F.size("differ").alias("size"), F.explode("differ").alias("d")), "differ")
+        several = self.scratch.keep(differ.groupBy("hub", "d").count().filter("count > 1"), "several")
+        own = differ.join(several, ["hub", "d"]).groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("count", "d"))).alias("values"))
+        # No partner's size allows a larger difference than `most`; one further from the hub than that shares the rest.
+        most = F.floor(F.col("n") * (1 + 100 / self.threshold) * self.slack + 1e-6)
+        places = F.size("values") - F.greatest(F.lit(1), F.col("size") - most) + 1
+        cut = F.slice(F.transform("values", lambda v, k: F.struct(v["d"].alias("d"), (F.size("values") - k).alias("left"))), F.lit(1), F.greatest(F.lit(0), places).cast("int"))
+        out = self.scratch.keep(own.select("hub", "node", "n", "size", F.explode(cut).alias("v")).select("hub", "v.d", "node", "n", "size", "v.left"), "differences")
+        self.scratch.drop("differ", "several")
+        return out
+
     def roots(self) -> DataFrame:
         """(node, root) of classes that are linked to another."""
-        spark, scratch, postings = self.docs.sparkSession, self.scratch, self.postings()
-        links, labels = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
-        step = 0
-        while True:
-            members = postings.join(labels, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
-            members = scratch.keep(members, f"members{step}")
-            by_root = members.groupBy("value", "root").count()
-            lists = by_root.groupBy("value").agg(F.sum("count").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("count", -F.col("root"))).alias("main"), F.max("count").alias("most")).filter("roots > 1")
-            lists = scratch.keep(lists, f"lists{step}")
-            if lists.isEmpty():
-                return labels
-            within = members.join(lists.select("value", "main"), "value")
-            if not step:
-                within = scratch.keep(within.withColumn("common", F.lit(None).cast("int")), f"within{step}")
-                self.sets = self.read_sets(within.select("node"))
-            else:
-                # What a member shares with the first round's hub of its list.
-                within = within.join(pivots, "value").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(known, ["a", "b"], "left")
-                within = scratch.keep(within.withColumn("common", F.when(F.col("node") == F.col("pivot"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "pivot", "shared"), f"within{step}")
-            closing = step == len(HUBS)
-            if closing:
-                chosen = within.filter("root <> main").select("value", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"))
-            else:
-                turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(HUBS[step]))
-                first = F.min_by(F.struct("node", "root", "n", "common"), F.xxhash64("node", F.lit(step)))
-                chosen = within.groupBy("value", turn.alias("turn")).agg(first.alias("hub")).select("value", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n").alias("hub_n"), F.col("hub.common").alias("hub_common"))
-            chosen = scratch.keep(chosen, f"hubs{step}")
-            # Members of both lie in the pivot's set or outside it, which bounds what the pair can share.
-            bound = F.least("common", "hub_common") + F.least(F.col("n") - F.col("common"), F.col("hub_n") - F.col("hub_common"))
-            sizes = F.lit(100) * F.least("n", "hub_n") >= F.lit(self.threshold) * F.greatest("n", "hub_n")
-            possible = sizes & F.coalesce(enough(bound, F.col("n"), F.col("hub_n"), self.threshold), F.lit(True))
-            pairs = within.join(chosen, "value").filter((F.col("root") != F.col("hub_root")) & possible).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-            found = self.measured(pairs, f"r{step}")
-            if not step:
-                pivots, known = chosen.select("value", F.col("hub").alias("pivot")), found.select("a", "b", "shared")
-            links = scratch.keep(links.unionByName(found.filter("linked").select("a", "b")), f"all{step}")
-            scratch.drop(f"members{step}", f"lists{step}", f"within{step}", *([f"hubs{step}"] if step else []))
-            labels = components(links, scratch, f"cc{step}")
-            if closing:
-                return labels
-            step += 1
+        scratch, postings = self.scratch, self.postings()
+        hubs = postings.groupBy("value").agg(F.max(F.struct("typical", "node", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+        hubs = scratch.keep(hubs.select("value", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+        members = scratch.keep(postings.join(hubs, "value").select("value", "hub", "hub_n", "node", "n"), "members")
+        self.sets = self.read_sets(members.select("node"))
+        pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+        near = members.filter((F.col("node") != F.col("hub")) & self.alike(F.col("n"), F.col("hub_n"))).select(*pair).distinct()
+        found = self.links(near, "hubs")
+        labels = components(found, scratch, "cc0")
+
+        rooted = scratch.keep(self.rooted(members, labels), "rooted0")
+        dealt = rooted.join(self.open_lists(rooted, "value"), "value", "left_semi").select("hub", "node", "n").distinct()
+        dealt = scratch.keep(dealt, "dealt")
+        scratch.drop("postings", "hubs", "members", "rooted0")
+        if dealt.isEmpty():
+            return labels
+        met = scratch.keep(self.rooted(self.difference_postings(dealt), labels), "rooted1")
+        lists = scratch.keep(self.open_lists(met, "hub", "d"), "lists")
+        within = met.join(lists, ["hub", "d"])
+        # Members outside a list's main component meet all others; a pair that is outside with both sides meets once.
+        outer = scratch.keep(within.filter("root <> main").select("hub", "d", "main", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "size", "left", "root"))), "outer")
+        slack = (F.col("n") + F.col("o_n")) * self.slack + 1e-6
+        overlap = (F.col("size") + F.col("o_size") - slack) / 2
+        possible = (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("o_node"))) & (F.least("left", "o_left") >= overlap) & self.alike(F.col("n"), F.col("o_n"))
+        pairs = met.join(outer, ["hub", "d"]).filter(possible).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+        more = self.links(pairs, "differences")
+        scratch.drop("differences", "rooted1", "lists", "outer", "dealt")
+        return components(found.unionByName(more), scratch, "cc1")
 
     def result(self) -> DataFrame:
         """id, n_shingles, component_id of every row."""
@@ -228,9 +252,10 @@ def near_dedup(docs: DataFrame, threshold: int = 80, shingle: int = SHINGLE, id_
 
     Documents are linked when threshold hundredths of the union of their shingle sets are shared; component_id is the
     smallest id reachable. Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows get
-    equal results. Rows that repeat an id with other texts are linked by their own texts each. A null id counts as -1. Other columns are ignored. An empty table
-    gives an empty result.
+    equal results. Rows that repeat an id with other texts are linked by their own texts each. A row without an id links
+    like any other; its id stays null and is no component's name, so component_id is null, and kept true, where no row
+    of the component has an id. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     out = NearDuplicates(rows, threshold, shingle).result()
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

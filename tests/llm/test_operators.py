@@ -304,8 +304,39 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     near = [b + " end" for b in base]
     rows = [(None, base[0]), (3, near[0]), (None, base[1]), (4, base[1]), (5, base[2]), (5, base[3]), (6, near[3]), (7, near[2]), (8, base[4]), (None, "")]
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
-    want = {base[0]: -1, near[0]: -1, base[1]: -1, base[2]: 5, near[2]: 5, base[3]: 5, near[3]: 5, base[4]: 8, "": -1}
-    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((-1 if k is None else k, want[t]) for k, t in rows)
+    want = {base[0]: 3, near[0]: 3, base[1]: 4, base[2]: 5, near[2]: 5, base[3]: 5, near[3]: 5, base[4]: 8, "": None}
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter((k, want[t], k == want[t]) for k, t in rows)
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_dedup_meets_few_pairs_of_a_cluster_below_the_threshold(spark, threshold, monkeypatch):
+    """Near copies that mostly link with no hub, some of them in pairs of their own or in chains."""
+    r = random.Random(threshold)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in r.sample(range(len(out)), n):
+            out[at] = word()
+        return out
+
+    copies = [edited(base, r.randrange(0, 9)) for _ in range(500)]
+    copies += [edited(c, 1) for c in copies[::5]] + [edited(c, 1) for c in copies[::7]]
+    copies += [edited(c, 2) for c in copies[500:]]
+    met = []
+    links = near_dedup.NearDuplicates.links
+
+    def counted(self, pairs, name):
+        met.append(pairs.count())
+        return links(self, pairs, name)
+
+    monkeypatch.setattr(near_dedup.NearDuplicates, "links", counted)
+    texts = [" ".join(c) for c in copies]
+    got = near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold).collect()
+    want = brute_components({k: shingles(t) for k, t in enumerate(texts)}, threshold)
+    assert len(set(want.values())) > 200 and {x.doc_id: x.component_id for x in got} == want
+    assert sum(met) < 6 * len(texts)
 
 
 @pytest.mark.parametrize("threshold", [80, 85])
