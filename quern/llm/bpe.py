@@ -4,44 +4,51 @@ Encoding splits texts by the tokenizer's pattern and folds ranked merges over th
 Spark higher-order functions. Ranks come from a literal map of two levels (bucket of the piece's checksum, then the
 piece), as Spark looks up a map by linear search; the plan holds it once.
 
-Words are made distinct within a task, without a shuffle: one Arrow step numbers the words of a block of documents and
-hands on those that its task meets for the first time, the fold turns these into ids, and a second Arrow step, which
-reads the same blocks in the same order, puts documents together from the numbers. Decoding concatenates the byte
-pieces of ids.
+Words that many documents use are folded once for the whole table: the most frequent words of a sample of documents, at
+most COMMON_WORDS of them, are folded first, and their ids go to all tasks. What is in that store decides how often a
+word is folded, never its ids. All other words are made distinct within a task, without a shuffle: one Arrow step splits
+the texts, numbers the words of a block of documents and hands on those that its task meets for the first time, the fold
+turns these into ids, and a second Arrow step, which reads the same blocks in the same order (they are numbered, and a
+block that is not the next one fails the task), puts documents together. Decoding concatenates the byte pieces of ids.
+
+The fold over a word of n bytes takes n steps on arrays of n entries. Words of more than LONG_WORD bytes, which are
+junk, are merged by a heap in the first Arrow step instead, in n log n and with equal results.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import list_blocks, ship, text_of
+from .common import Scratch, list_blocks, row_blocks, ship, text_of
 
 ship(__name__)
 
 RANK_BUCKETS, NO_RANK = 1 << 14, (1 << 31) - 1
-#: Distinct words after which a task's numbering starts anew, and words of one block.
-MOST_WORDS, BLOCK_WORDS = 1 << 20, 1 << 18
+#: Words that are folded for all tasks at most (about), and documents (in expectation) whose words are counted for that.
+COMMON_WORDS, SAMPLE_DOCS = 1 << 19, 1 << 15
+#: New distinct words after which a task forgets them; bytes of text and ids of one block; bytes of words that are folded.
+MOST_WORDS, BLOCK_BYTES, BLOCK_IDS, LONG_WORD = 1 << 18, 4 << 20, 1 << 18, 256
+#: Characters of a text from which on its words are not listed at once.
+LONG_TEXT = 1 << 22
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with white space as Unicode has it, which Java's \\s is not."""
-    return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
-
-
 @lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
@@ -99,57 +106,198 @@ def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, words) -> blocks: id list, sizes (words of each document), codes, fresh (words not met before), anew."""
-    known: dict[bytes, int] = {}
-    for batch in batches:
-        for part in list_blocks(batch, "words", BLOCK_WORDS):
-            anew = len(known) > MOST_WORDS
-            if anew:
-                known = {}
-            coded = part["words"].flatten().cast(pa.binary()).dictionary_encode()
-            before = len(known)
-            distinct = coded.dictionary.to_pylist()
-            numbers = np.fromiter((known.setdefault(w, len(known)) for w in distinct), np.int32, len(distinct))
-            fresh = coded.dictionary.filter(pa.array(numbers >= before))
-            codes = numbers[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int32)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.record_batch([one(part["id"]), one(pc.fill_null(pc.list_value_length(part["words"]), 0)), one(pa.array(codes)), one(fresh), pa.array([anew])], ["id", "sizes", "codes", "fresh", "anew"])
-
-
-def join_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """What fold_word gives: the leftmost pair of least rank is merged until no pair has a rank."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    after, before, own = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+    todo: list[tuple[int, int]] = []
+
+    def look(i: int) -> None:
+        j = after[i] if i >= 0 else n
+        if j < n:
+            own[i] = ranks.get(word[i : after[j]], -1)
+            if own[i] >= 0:
+                heapq.heappush(todo, (own[i], i))
+        elif i >= 0:
+            own[i] = -1
+
+    for i in range(n):
+        look(i)
+    while todo:
+        rank, i = heapq.heappop(todo)
+        if own[i] != rank:
+            continue
+        j = after[i]
+        own[j], after[i] = -2, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        look(i)
+        look(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
+
+
+def split_words(text: str, pattern: regex.Pattern) -> Iterable[str]:
+    return pattern.findall(text) if len(text) < LONG_TEXT else (m.group() for m in pattern.finditer(text))
+
+
+def counted_words(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(text) -> (word, n): how often a task met words of at most LONG_WORD bytes; a word may have several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, counts = regex.compile(pattern), Counter()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            short = [(b, n) for w, n in counts.items() if len(b := w.encode()) <= LONG_WORD]
+            yield pa.record_batch([pa.array([b for b, _ in short], pa.binary()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+            counts.clear()
+
+        for batch in batches:
+            for part in row_blocks(batch, "text", BLOCK_BYTES):
+                for text in part["text"].to_pylist():
+                    counts.update(split_words(text, match))
+                if len(counts) > MOST_WORDS:
+                    yield from rows()
+        yield from rows()
+
+    return run
+
+
+class Numbers(dict):
+    """Numbers of words; `fresh` lists the words that were not in it."""
+
+    def __init__(self, words: Iterable[str]):
+        super().__init__(zip(words, range(1 << 62), strict=False))
+        self.first, self.fresh = len(self), []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+def number_words(pattern: str, common: Callable[[], pa.Array], pieces: Callable[[], list[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text) -> blocks: number, id list, sizes (words of each document), codes, fresh (words not met before; null
+    for long ones), long (the ids of these), anew (whether earlier fresh words are forgotten)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, words, ranks = regex.compile(pattern), common(), {}
+        known, number = Numbers(words.cast(pa.string()).to_pylist()), 0
+        for batch in batches:
+            for part in row_blocks(batch, "text", BLOCK_BYTES):
+                anew = len(known) - known.first > MOST_WORDS
+                if anew:
+                    known = Numbers(words.cast(pa.string()).to_pylist())
+                codes = [np.fromiter(map(known.__getitem__, split_words(t, match)), np.int32) for t in part["text"].to_pylist()]
+                fresh = [w.encode() for w in known.fresh]
+                known.fresh = []
+                long = [w for w in fresh if len(w) > LONG_WORD]
+                if long and not ranks:
+                    ranks = {piece: k for k, piece in enumerate(pieces()) if piece}
+                one = lambda x, kind: pa.array([x], pa.list_(kind))
+                yield pa.record_batch(
+                    [
+                        pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part["id"]), one([len(c) for c in codes], pa.int32()),
+                        one(np.concatenate(codes), pa.int32()), one([w if len(w) <= LONG_WORD else None for w in fresh], pa.binary()), one([heap_merge(w, ranks) for w in long], pa.list_(pa.int32())), pa.array([anew]),
+                    ],
+                    ["number", "id", "sizes", "codes", "fresh", "long", "anew"],
+                )
+                number += 1
+
+    return run
+
+
+def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of a list array without nulls."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def join_words(common: Callable[[], pa.Array]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks with `fresh` folded to ids -> (id, ids)."""
-    values, starts, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            fresh = row["fresh"].flatten()
-            if row["anew"][0].as_py():
-                values, starts, sizes = values[:0], starts[:0], sizes[:0]
-            more = pc.list_value_length(fresh).to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = np.concatenate([starts, len(values) + np.cumsum(more) - more])
-            sizes = np.concatenate([sizes, more])
-            values = np.concatenate([values, fresh.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-            codes = row["codes"].flatten().to_numpy()
-            ids = _ragged(values, starts[codes], sizes[codes])
-            words = np.cumsum(np.append(0, row["sizes"].flatten().to_numpy()))
-            tokens = np.append(0, np.cumsum(sizes[codes]))[words]
-            yield pa.record_batch([row["id"].flatten(), pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(ids))], ["id", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = flat_lists(common())
+        values, sizes = first
+        starts, number = np.cumsum(sizes) - sizes, 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                if row["number"][0].as_py() != number:
+                    raise ValueError("blocks of words are out of order")
+                number += 1
+                if row["anew"][0].as_py():
+                    values, sizes = first
+                folded = row["fresh"].flatten()
+                if folded.null_count:
+                    long = iter(row["long"].flatten().to_pylist())
+                    folded = pa.array([next(long) if x is None else x for x in folded.to_pylist()], pa.list_(pa.int32()))
+                more_values, more_sizes = flat_lists(folded)
+                values, sizes = np.concatenate([values, more_values]), np.concatenate([sizes, more_sizes])
+                starts = np.cumsum(sizes) - sizes
+                codes = row["codes"].flatten().to_numpy()
+                ids = _ragged(values, starts[codes], sizes[codes])
+                words = np.cumsum(np.append(0, row["sizes"].flatten().to_numpy()))
+                tokens = np.append(0, np.cumsum(sizes[codes]))[words]
+                yield pa.record_batch([row["id"].flatten(), pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(ids))], ["id", "ids"])
+
+    return run
 
 
 class ByteBPE:
     """A vocabulary's encoder and decoder."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern, self.ranks = java_pattern(pattern), ranks
-
-    def _folded(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """Blocks of numbered words with the ids of fresh ones."""
-        rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text_of(text_col), F.lit(self.pattern), F.lit(0)).alias("words"))
+        self.pattern, self.ranks = pattern, ranks
+
+    def fold(self, words: Column) -> Column:
+        """The ids of each word of a list of binaries; null for null."""
+        return _let(rank_table(self.ranks), lambda t: _let(binary_keys(t), lambda table: F.transform(words, lambda w: F.when(w.isNotNull(), fold_word(w, table)))))
+
+    def common_words(self, texts: DataFrame) -> pa.Table:
+        """(text) -> (word, ids) of the most frequent words of a sample."""
+        scratch = Scratch(texts.sparkSession, "bpe")
+        n = texts.count()
+        taken = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n))))
+        counted = taken.mapInArrow(counted_words(self.pattern), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+        counted = scratch.keep(counted, "counted")
+        distinct = counted.count()
+        if distinct > COMMON_WORDS:
+            least = counted.agg(F.percentile_approx("n", 1 - COMMON_WORDS / distinct)).first()[0]
+            counted = counted.filter(F.col("n") > least)
+        lists = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(256))).repartition(64, "part").groupBy("part").agg(F.collect_list("word").alias("words"))
+        out = lists.select(F.explode(F.arrays_zip("words", self.fold(F.col("words")).alias("ids"))).alias("w")).select("w.words", "w.ids").toArrow()
+        scratch.drop("counted")
+        return out
+
+    def _folded(self, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+        """Blocks of numbered words with the ids of fresh ones, and the step that puts documents together."""
+        rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+        common = self.common_words(rows.select("text")).combine_chunks()
+        context = docs.sparkSession.sparkContext
+        column = lambda k, kind: common.column(k).chunk(0) if common.num_rows else pa.array([], kind)
+        words, ids, pieces = (context.broadcast(x) for x in (column(0, pa.binary()), column(1, pa.list_(pa.int32())), self.pieces()))
         ints = ArrayType(IntegerType())
         fields = [StructField("id", ArrayType(docs.schema[id_col].dataType)), StructField("sizes", ints), StructField("codes", ints)]
-        blocks = rows.mapInArrow(number_words, StructType([*fields, *StructType.fromDDL("fresh array<binary>, anew boolean")]))
-        return blocks.withColumn("fresh", _let(rank_table(self.ranks), lambda t: _let(binary_keys(t), lambda table: F.transform("fresh", lambda w: fold_word(w, table)))))
+        blocks = rows.mapInArrow(number_words(self.pattern, lambda: words.value, lambda: pieces.value), StructType([*StructType.fromDDL("number long"), *fields, *StructType.fromDDL("fresh array<binary>, long array<array<int>>, anew boolean")]))
+        return blocks.withColumn("fresh", self.fold(F.col("fresh"))), join_words(lambda: ids.value)
+
+    def _coded(self, docs: DataFrame, id_col: str, text_col: str, fields: str, *steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+        """id and `fields`, which `steps` make of (id, ids), in one Arrow step."""
+        blocks, join = self._folded(docs, id_col, text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = join(batches)
+            for step in steps:
+                out = step(out)
+            return out
+
+        schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(fields)])
+        return blocks.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per input row: id, ids (array of int).
@@ -157,20 +305,15 @@ class ByteBPE:
         A null text counts as empty and has no ids. Special tokens' strings are ordinary text. Rows that repeat an id or
         a text are encoded each; null ids stay null. Other columns are ignored. An empty table gives an empty result.
         """
-        out = StructType([StructField("id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType()))])
-        return self._folded(docs, id_col, text_col).mapInArrow(join_words, out).withColumnRenamed("id", id_col)
+        return self._coded(docs, id_col, text_col, "ids array<int>")
 
     def encode_decode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """encode and decode in one Arrow step: id, ids, decoded (binary)."""
-        decode = self._decoder(docs)
-        out = StructType([StructField("id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), *StructType.fromDDL("decoded binary")])
-        return self._folded(docs, id_col, text_col).mapInArrow(lambda batches: decode(join_words(batches)), out).withColumnRenamed("id", id_col)
+        return self._coded(docs, id_col, text_col, "ids array<int>, decoded binary", self._decoder(docs))
 
     def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """encode, decode and digests in one Arrow step: id, n_tokens, ids_sha256, decoded_sha256."""
-        decode = self._decoder(docs)
-        out = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(DIGESTS)])
-        return self._folded(docs, id_col, text_col).mapInArrow(lambda batches: digest_lists(decode(join_words(batches))), out).withColumnRenamed("id", id_col)
+        return self._coded(docs, id_col, text_col, DIGESTS, self._decoder(docs), digest_lists)
 
     def pieces(self) -> list[bytes]:
         by_id = [b""] * (max(self.ranks.values()) + 1)
@@ -184,7 +327,7 @@ class ByteBPE:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.array(pieces.value, pa.large_binary())
             for batch in batches:
-                for part in list_blocks(batch, "ids", BLOCK_WORDS):
+                for part in list_blocks(batch, "ids", BLOCK_IDS):
                     taken, at = joined(table, part["ids"])
                     yield pa.record_batch([part["id"], part["ids"], pa.array([taken[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "ids", "decoded"])
 
@@ -205,13 +348,21 @@ def joined(table: pa.Array, lists: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(taken.buffers()[2] or b"").cast("B"), ends[np.append(0, np.cumsum(counts))]
 
 
+_DECIMALS: dict[int, pa.Array] = {}
+
+
+def decimals(n: int) -> pa.Array:
+    """The numbers below n, each with a comma."""
+    if n not in _DECIMALS:
+        _DECIMALS[n] = pa.array([b"%d," % k for k in range(n)], pa.large_binary())
+    return _DECIMALS[n]
+
+
 def digest_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, ids, decoded) -> id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
     for batch in batches:
-        for part in list_blocks(batch, "ids", BLOCK_WORDS):
-            ids = part["ids"].flatten()
-            table = pa.array([b"%d," % k for k in range((pc.max(ids).as_py() or 0) + 1)], pa.large_binary())
-            text, at = joined(table, part["ids"])
+        for part in list_blocks(batch, "ids", BLOCK_IDS):
+            text, at = joined(decimals(1 << ((pc.max(part["ids"].flatten()).as_py() or 0) + 1).bit_length()), part["ids"])
             hashes = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
             bodies = [hashlib.sha256(x.as_buffer()).hexdigest() for x in part["decoded"]]
             yield pa.record_batch([part["id"], pc.list_value_length(part["ids"]).cast(pa.int64()), pa.array(hashes, pa.string()), pa.array(bodies, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -85,18 +85,39 @@ def test_bpe(docs, none):
     assert bpe_mod.digests(bpe.decode(bpe.encode(none))).count() == 0
 
 
-def test_bpe_starts_numbering_anew(docs, monkeypatch):
-    words = [("a", ["x", "y", "x"]), ("b", ["y", "z"]), ("c", None), ("d", []), ("e", ["x"])]
+def test_bpe_round_trip_of_odd_and_long_texts(spark, monkeypatch):
+    """The registered path against the library: long words, Unicode, nulls, repeated rows; any common words and blocks."""
+    ranks = bpe_mod.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    bpe = bpe_mod.ByteBPE(ranks, public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(3)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [None, "", " ", letters(100_000), "a" * 50_000, letters(255), letters(256), letters(257), "the cat's\u2028 \u0001\U0001f600 e\u0301\u00a0x  \n\n 12345 <|endoftext|>"]
+    texts += [" ".join(letters(r.randrange(1, 9)) for _ in range(300)) for _ in range(20)] * 2
+    rows = spark.createDataFrame([(k if k % 5 else None, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    want = Counter()
+    for k, t in enumerate(texts):
+        ids = enc.encode_ordinary(t or "")
+        want[k if k % 5 else None, len(ids), sha(",".join(map(str, ids))), sha(t or "")] += 1
+    for common, most, size in ((1 << 19, 1 << 18, 1 << 22), (10, 5, 1000)):
+        monkeypatch.setattr(bpe_mod, "COMMON_WORDS", common)
+        monkeypatch.setattr(bpe_mod, "MOST_WORDS", most)
+        monkeypatch.setattr(bpe_mod, "BLOCK_BYTES", size)
+        assert Counter(map(tuple, bpe.round_trip(rows).collect())) == want
+
+
+def test_bpe_blocks_out_of_order_fail():
     import pyarrow as pa
 
-    batch = pa.record_batch({"id": [w[0] for w in words], "words": pa.array([w[1] for w in words], pa.list_(pa.string()))})
-    for most, size in ((1 << 20, 1 << 20), (0, 1), (1, 2)):
-        monkeypatch.setattr(bpe_mod, "MOST_WORDS", most)
-        monkeypatch.setattr(bpe_mod, "BLOCK_WORDS", size)
-        blocks = list(bpe_mod.number_words(iter([batch])))
-        folded = [b.set_column(3, "fresh", pa.array([[list(w) for w in row] for row in b["fresh"].to_pylist()], pa.list_(pa.list_(pa.int32())))) for b in blocks]
-        got = {k: v for b in bpe_mod.join_words(iter(folded)) for k, v in zip(b["id"].to_pylist(), b["ids"].to_pylist(), strict=True)}
-        assert got == {k: [ord(c) for w in ws or [] for c in w] for k, ws in words}
+    number = bpe_mod.number_words(r"\w+", lambda: pa.array([], pa.binary()), list)
+    batch = pa.record_batch({"id": [1, 2], "text": ["a b", "b c"]})
+    bpe_blocks = list(number(iter([batch, batch])))
+    folded = [b.set_column(4, "fresh", pa.array([[list(w) for w in row] for row in b["fresh"].to_pylist()], pa.list_(pa.list_(pa.int32())))) for b in bpe_blocks]
+    join = bpe_mod.join_words(lambda: pa.array([], pa.list_(pa.int32())))
+    got = [x for b in join(iter(folded)) for x in b["ids"].to_pylist()]
+    assert got == [[97, 98], [98, 99]] * 2
+    with pytest.raises(ValueError, match="out of order"):
+        list(join(iter(folded[::-1])))
 
 
 # Classifiers -----------------------------------------------------------------------------------------------------
