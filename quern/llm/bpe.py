@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 import zlib
 from collections import Counter
@@ -34,8 +35,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, list_blocks, row_blocks, ship, text_of
+from .common import Scratch, bounded_batches, list_blocks, row_blocks, ship, text_of
 
 ship(__name__)
 
@@ -43,7 +45,7 @@ RANK_BUCKETS, NO_RANK = 1 << 14, (1 << 31) - 1
 #: Words that are folded for all tasks at most (about), and documents (in expectation) whose words are counted for that.
 COMMON_WORDS, SAMPLE_DOCS = 1 << 19, 1 << 15
 #: New distinct words after which a task forgets them; bytes of text and ids of one block; bytes of words that are folded.
-MOST_WORDS, BLOCK_BYTES, BLOCK_IDS, LONG_WORD = 1 << 18, 4 << 20, 1 << 18, 256
+MOST_WORDS, BLOCK_BYTES, BLOCK_IDS, LONG_WORD = 1 << 17, 1 << 20, 1 << 18, 256
 #: Characters of a text from which on its words are not listed at once.
 LONG_TEXT = 1 << 22
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -66,17 +68,13 @@ def rank_table(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def binary_keys(table: Column) -> Column:
-    return F.transform(table, lambda m: F.transform_keys(m, lambda k, _: F.unhex(k)))
-
-
 def fold_word(word: Column, table: Column) -> Column:
-    """The ids of one word (binary) under a table with binary keys: a word with a rank is that id; else its bytes, with
-    the leftmost pair of least rank merged until no pair has a rank.
+    """The ids of one word (binary): a word with a rank is that id; else its bytes, with the leftmost pair of least rank
+    merged until no pair has a rank.
 
     The state holds where pieces begin (and, last, where the word ends) and each piece's rank joined with the next."""
     none = F.array().cast("array<int>")
-    rank = lambda piece: F.try_element_at(F.get(table, (F.crc32(piece) % RANK_BUCKETS).cast("int")), piece)
+    rank = lambda piece: F.try_element_at(F.get(table, (F.crc32(piece) % RANK_BUCKETS).cast("int")), F.hex(piece))
     pair = lambda begin, end: F.when(end.isNull(), F.lit(NO_RANK)).otherwise(F.coalesce(rank(F.substring(word, begin, end - begin)), F.lit(NO_RANK)))
     n = F.octet_length(word)
     start = F.struct(F.sequence(F.lit(1), n + 1).alias("at"), F.transform(F.sequence(F.lit(1), n), lambda i: pair(i, F.when(i < n, i + 2))).alias("ranks"))
@@ -169,41 +167,69 @@ def counted_words(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 class Numbers(dict):
-    """Numbers of words; `fresh` lists the words that were not in it."""
-
-    def __init__(self, words: Iterable[str]):
-        super().__init__(zip(words, range(1 << 62), strict=False))
-        self.first, self.fresh = len(self), []
+    """Numbers of words in order of their first look-up."""
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
-        self.fresh.append(word)
         return n
 
 
+class Common:
+    """Numbers of the common words: a search among sorted hashes, and the words themselves decide."""
+
+    def __init__(self, words: pa.Array):
+        self.words = words
+        hashes = np.fromiter((xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of these words, -1 for others."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self) or not words:
+            return out
+        hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        number = self.order[at[hit]]
+        same = pc.equal(self.words.take(pa.array(number)), pa.array([words[k] for k in hit.tolist()], pa.binary())).to_numpy(zero_copy_only=False)
+        out[hit[same]] = number[same]
+        return out
+
+
 def number_words(pattern: str, common: Callable[[], pa.Array], pieces: Callable[[], list[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(id, text) -> blocks: number, id list, sizes (words of each document), codes, fresh (words not met before; null
-    for long ones), long (the ids of these), anew (whether earlier fresh words are forgotten)."""
+    for long ones), long (the ids of these), anew (whether earlier fresh words are forgotten).
+
+    Codes are numbers of common words, then of fresh ones in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match, words, ranks = regex.compile(pattern), common(), {}
-        known, number = Numbers(words.cast(pa.string()).to_pylist()), 0
+        match, shared, ranks = regex.compile(pattern), Common(common()), {}
+        known, number = Numbers(), 0
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
         for batch in batches:
             for part in row_blocks(batch, "text", BLOCK_BYTES):
-                anew = len(known) - known.first > MOST_WORDS
+                own = Numbers()
+                local = [np.fromiter(map(own.__getitem__, split_words(t, match)), np.int32) for t in part["text"].to_pylist()]
+                words = [w.encode() for w in own]
+                anew = len(known) > MOST_WORDS
                 if anew:
-                    known = Numbers(words.cast(pa.string()).to_pylist())
-                codes = [np.fromiter(map(known.__getitem__, split_words(t, match)), np.int32) for t in part["text"].to_pylist()]
-                fresh = [w.encode() for w in known.fresh]
-                known.fresh = []
+                    known = Numbers()
+                code, before = shared.find(words), len(known)
+                for k in np.flatnonzero(code < 0).tolist():
+                    code[k] = len(shared) + known[words[k]]
+                fresh = list(itertools.islice(known, before, None))
                 long = [w for w in fresh if len(w) > LONG_WORD]
                 if long and not ranks:
                     ranks = {piece: k for k, piece in enumerate(pieces()) if piece}
-                one = lambda x, kind: pa.array([x], pa.list_(kind))
                 yield pa.record_batch(
                     [
-                        pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part["id"]), one([len(c) for c in codes], pa.int32()),
-                        one(np.concatenate(codes), pa.int32()), one([w if len(w) <= LONG_WORD else None for w in fresh], pa.binary()), one([heap_merge(w, ranks) for w in long], pa.list_(pa.int32())), pa.array([anew]),
+                        pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part["id"]), one([len(c) for c in local], pa.int32()),
+                        one(code.astype(np.int32)[np.concatenate(local)] if words else [], pa.int32()), one([w if len(w) <= LONG_WORD else None for w in fresh], pa.binary()),
+                        one([heap_merge(w, ranks) for w in long], pa.list_(pa.int32())), pa.array([anew]),
                     ],
                     ["number", "id", "sizes", "codes", "fresh", "long", "anew"],
                 )
@@ -212,6 +238,24 @@ def number_words(pattern: str, common: Callable[[], pa.Array], pieces: Callable[
     return run
 
 
+class Ragged:
+    """Lists of ids by number, which grow at their end."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        self.values, self.starts, self.sizes, self.used, self.n = values, np.cumsum(sizes) - sizes, sizes, len(values), len(sizes)
+        self.first = self.used, self.n
+
+    def forget(self) -> None:
+        self.used, self.n = self.first
+
+    def append(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        room = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n, len(x) * 5 // 4) - len(x), x.dtype)])
+        used, n = self.used + len(values), self.n + len(sizes)
+        self.values, self.starts, self.sizes = room(self.values, used), room(self.starts, n), room(self.sizes, n)
+        self.values[self.used : used], self.sizes[self.n : n], self.starts[self.n : n] = values, sizes, self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = used, n
+
+
 def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and sizes of a list array without nulls."""
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -221,9 +265,7 @@ def join_words(common: Callable[[], pa.Array]) -> Callable[[Iterator[pa.RecordBa
     """Blocks with `fresh` folded to ids -> (id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = flat_lists(common())
-        values, sizes = first
-        starts, number = np.cumsum(sizes) - sizes, 0
+        known, number = Ragged(*flat_lists(common())), 0
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
@@ -231,18 +273,17 @@ def join_words(common: Callable[[], pa.Array]) -> Callable[[Iterator[pa.RecordBa
                     raise ValueError("blocks of words are out of order")
                 number += 1
                 if row["anew"][0].as_py():
-                    values, sizes = first
+                    known.forget()
                 folded = row["fresh"].flatten()
                 if folded.null_count:
                     long = iter(row["long"].flatten().to_pylist())
                     folded = pa.array([next(long) if x is None else x for x in folded.to_pylist()], pa.list_(pa.int32()))
-                more_values, more_sizes = flat_lists(folded)
-                values, sizes = np.concatenate([values, more_values]), np.concatenate([sizes, more_sizes])
-                starts = np.cumsum(sizes) - sizes
+                known.append(*flat_lists(folded))
                 codes = row["codes"].flatten().to_numpy()
-                ids = _ragged(values, starts[codes], sizes[codes])
+                sizes = known.sizes[codes]
+                ids = _ragged(known.values, known.starts[codes], sizes)
                 words = np.cumsum(np.append(0, row["sizes"].flatten().to_numpy()))
-                tokens = np.append(0, np.cumsum(sizes[codes]))[words]
+                tokens = np.append(0, np.cumsum(sizes))[words]
                 yield pa.record_batch([row["id"].flatten(), pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(ids))], ["id", "ids"])
 
     return run
@@ -256,7 +297,7 @@ class ByteBPE:
 
     def fold(self, words: Column) -> Column:
         """The ids of each word of a list of binaries; null for null."""
-        return _let(rank_table(self.ranks), lambda t: _let(binary_keys(t), lambda table: F.transform(words, lambda w: F.when(w.isNotNull(), fold_word(w, table)))))
+        return _let(rank_table(self.ranks), lambda table: F.transform(words, lambda w: F.when(w.isNotNull(), fold_word(w, table))))
 
     def common_words(self, texts: DataFrame) -> pa.Table:
         """(text) -> (word, ids) of the most frequent words of a sample."""
@@ -276,6 +317,7 @@ class ByteBPE:
 
     def _folded(self, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
         """Blocks of numbered words with the ids of fresh ones, and the step that puts documents together."""
+        bounded_batches(docs.sparkSession)
         rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
         common = self.common_words(rows.select("text")).combine_chunks()
         context = docs.sparkSession.sparkContext

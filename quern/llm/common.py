@@ -67,6 +67,31 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, about; one row at least.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends batches of at most BATCH_BYTES to Python workers (Spark's own bound is 64 MB)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_by_user = spark.conf.get(name, str(1 << 26))
+    if set_by_user.isdigit() and int(set_by_user) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def quoted(name: str) -> Column:
+    """A column by its name as it is, with dots or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, or the empty string for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -180,14 +180,66 @@ def test_language_id(spark, none):
     assert langid.language_id(none).count() == 0
 
 
+def random_model(langs, seed=0):
+    r = np.random.default_rng(seed)
+    lang, bucket = (x.ravel() for x in np.meshgrid(np.arange(langs), np.arange(langid.BUCKETS), indexing="ij"))
+    some = r.random(len(lang)) < 0.6
+    return langid.model_of([f"l{k:05}" for k in range(langs)], r.integers(1, 9, langs).astype(float), lang[some], bucket[some], r.integers(1, 999, some.sum()))
+
+
 def test_language_scores_do_not_depend_on_batches(monkeypatch):
-    model = langid.Model(["a", "b"], np.random.default_rng(0).integers(-9000, 0, (langid.BUCKETS, 2)).astype(np.int32), np.zeros(2, np.int64))
+    model = random_model(2)
     texts = ["hello world", "", "été " * 50, "x", "1", "Straße"]
     whole = langid.score_texts(model, texts)
     alone = [langid.score_texts(model, [t]) for t in texts]
-    monkeypatch.setattr(langid, "CHUNK", 5)
-    parts = langid.score_texts(model, texts)
-    assert whole[0] == parts[0] == [a[0][0] for a in alone] and np.array_equal(whole[1], parts[1]) and np.array_equal(whole[1], [a[1][0] for a in alone])
+    for name in ("CHUNK", "MOST_ENTRIES", "MOST_CELLS"):
+        monkeypatch.setattr(langid, name, 5)
+        parts = langid.score_texts(model, texts)
+        assert whole[0] == parts[0] == [a[0][0] for a in alone] and np.array_equal(whole[1], parts[1]) and np.array_equal(whole[1], [a[1][0] for a in alone])
+
+
+def plain_bayes(rows, texts):
+    """Naive Bayes with one dictionary of n-gram buckets a language, one n-gram at a time."""
+
+    def grams(text):
+        points = [ord(c) if c.isalpha() else 0 for c in text.lower()] + [0] * 2
+        for k in range(len(points)):
+            h = 0
+            for order in (1, 2, 3):
+                last = points[k + order - 1] if k + order - 1 < len(points) else 0
+                h = ((h ^ last) * 0x9E3779B1) & 0xFFFFFFFF
+                h ^= h >> 15
+                if points[k] or last:
+                    yield (((h + order) * 0x85EBCA6B) & 0xFFFFFFFF) >> 16
+
+    counts, docs = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        counts[lang].update(grams(text))
+        docs[lang] += 1
+    out = []
+    for text in texts:
+        own = Counter(grams(text))
+        sums = {}
+        for lang in sorted(docs):
+            total = sum(counts[lang].values()) + 0.5 * 65536
+            sums[lang] = round(math.log(docs[lang] / sum(docs.values())) * 1024) + sum(n * round(math.log((counts[lang][b] + 0.5) / total) * 1024) for b, n in own.items())
+        out.append(max(sums, key=lambda x: (sums[x], [-ord(c) for c in x])) if any(c.isalpha() for c in text) else "und")
+    return out
+
+
+def test_language_id_against_plain_naive_bayes_with_many_languages(spark):
+    """More languages than fit a dense table of a block; repeated rows, nulls and a long text."""
+    r = random.Random(8)
+    voc = {f"l{k}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöå") for _ in range(5)) for _ in range(4)] for k in range(700)}
+    rows = [(k, " ".join(r.choice(voc[f"l{k % 700}"]) for _ in range(12)), f"l{k % 700}") for k in range(1400)]
+    rows += [rows[3], rows[3], (None, rows[5][1], "l5"), (5000, " ".join(r.choice(voc["l9"]) for _ in range(120_000)), None), (5001, None, "l1"), (5002, "9 !", None)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(3)).collect()
+    learned = [(lang, t or "") for k, t, lang in rows if lang is not None and zlib.crc32(str("" if k is None else k).encode()) % 4 != 2]
+    some = [*rows[:40], *rows[1400:1403], *rows[1404:]]
+    want = Counter(zip([x[0] for x in some], plain_bayes(learned, [x[1] or "" for x in some]), strict=True))
+    keys = {x[0] for x in some}
+    assert Counter((x.doc_id, x.lang_pred) for x in got if x.doc_id in keys) == want
+    assert {x.lang_pred for x in got if x.doc_id == 5000} == {"l9"} and len(got) == len(rows)
 
 
 # Mixing ----------------------------------------------------------------------------------------------------------
@@ -404,6 +456,7 @@ def test_substring_dedup(docs, none):
 
 def test_merkle(docs, none, monkeypatch):
     monkeypatch.setattr(merkle, "ROWS_A_RANGE", 4)
+    monkeypatch.setattr(merkle, "LOOKS_A_RANGE", 2)
     unique = docs.dropDuplicates(["doc_id"])
     order = sorted(rows_of(unique), reverse=True)
     got = {r.doc_id: r for r in merkle.compare_edits(unique).collect()}
@@ -413,18 +466,43 @@ def test_merkle(docs, none, monkeypatch):
         half = len(t) // 2
         r = got[k]
         assert r.n_chars == len(t) and r.edited == t[: len(t) - half] + after[:half] and r.fingerprint == prints[k]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        own, edited, following = (plain_blocks(x) for x in (t, r.edited, after))
+        dice = lambda x, y: min(2 * len(x & y) / max(1, len(x) + len(y)), 1 - 1 / (len(x) + len(y) + 2))
+        assert math.isclose(r.near_edited, 1 if t == r.edited else dice(own, edited)) and math.isclose(r.near_next, 1 if t == after else dice(own, following))
         assert (r.near_next == 1) == (t == after) and (r.near_edited == 1) == (t == r.edited)
     for (a, x, _), (b, y, _) in itertools.combinations(order, 2):
         assert (prints[a] == prints[b]) == (x == y)
     assert merkle.compare_edits(docs).count() == docs.count() and merkle.compare_edits(none).count() == 0
 
 
-def test_merkle_shows_the_edited_branch(spark):
-    a = "first line here\nsecond line of words\n\nnew section. with more words in it"
-    one, two = (r.fingerprint for r in merkle.fingerprints(spark.createDataFrame([(1, a), (2, a.replace("more", "less"))], "doc_id long, text string")).orderBy("doc_id").collect())
-    sections = lambda f: re.findall(r"[0-9a-f]{16}\{", f)
-    assert sections(one)[0] == sections(two)[0] and sections(one)[1] != sections(two)[1] and one.split("|")[0] != two.split("|")[0]
+def plain_blocks(text):
+    return {sha(b)[:8] for p in text.split("\n") for b in re.findall(merkle.BLOCK, p)}
+
+
+def test_merkle_with_null_and_repeated_ids(spark, monkeypatch):
+    """Each row's next one by descending id, ties by a hash of the text; rows without an id are split into ranges too."""
+    monkeypatch.setattr(merkle, "ROWS_A_RANGE", 3)
+    monkeypatch.setattr(merkle, "LOOKS_A_RANGE", 1)
+    rows = [((None, 7, k)[k % 3], f"text {k} " * 5) for k in range(60)] + [(None, None), (7, "text 1 " * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.desc("k"), F.desc("t")).collect()
+    want = Counter()
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        half = len(r.text) // 2
+        want[r.doc_id, r.text[: len(r.text) - half] + after.text[:half]] += 1
+    assert Counter((r.doc_id, r.edited) for r in merkle.compare_edits(df).collect()) == want
+
+
+def test_merkle_differences_locate_edits(spark):
+    a = "first line here with many words in it\nsecond line of words\n\nnew section. with more words in it and on\n\nlast"
+    cases = [
+        (a, []), (a.replace("more", "less"), [(1, 0, 1)]), (a.replace("second line", "other line"), [(0, 1, 0)]), (a.replace("many", "few").replace("last", "end"), [(0, 0, 1), (2, 0, 0)]),
+        (a.replace("new section. with more words in it and on\n\n", ""), [(1, None, None)]), (a + "\n\nadded", []), (a + "\nadded", [(2, None, None)]), ("zero\n\n" + a, []), ("", [(0, None, None), (1, None, None), (2, 0, 0)]),
+    ]
+    df = spark.createDataFrame([(k, a, b) for k, (b, _) in enumerate(cases)], "k int, a string, b string")
+    got = df.select("k", merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("d"), (merkle.root(merkle.tree(F.col("a"))) == merkle.root(merkle.tree(F.col("b")))).alias("same")).orderBy("k").collect()
+    assert [[tuple(x) for x in r.d] for r in got] == [d for _, d in cases]
+    assert [r.same for r in got] == [b == a for b, _ in cases]
 
 
 def test_secrets(docs, none):
@@ -435,17 +513,49 @@ def test_secrets(docs, none):
         spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
         listed = ",".join(f"{('assign', 'access', 'hex')[j]}:{x}:{y}" for x, j, y in sorted(spans))
         want[k, *(sum(s[1] == j for s in spans) for j in range(3)), sha(listed), listed] += 1
-    found, _ = secrets.scan(docs)
-    assert Counter(map(tuple, secrets.counted(found).collect())) == want
-    assert secrets.scan(none)[0].count() == 0
+    assert Counter(map(tuple, secrets.counted(secrets.scan(docs)).collect())) == want
+    assert secrets.scan(none).count() == 0
+
+
+def test_secrets_ledger_is_incremental(spark, docs, tmp_path, monkeypatch):
+    ledger, read = secrets.Ledger(spark, str(tmp_path / "ledger")), []
+    scan_blobs = secrets.scan_blobs
 
+    def counted(blobs, rules=secrets.RULES):
+        read.append(blobs.count())
+        return scan_blobs(blobs, rules)
 
-def test_secrets_ledger_is_incremental(docs):
-    found, ledger = secrets.scan(docs)
-    more = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(5000).cast("long"), "text": F.lit("token = abcdefghijklmnop")}))
-    again, fresh = secrets.scan(more, ledger)
-    assert fresh.count() == 1 and again.count() == found.count() + 1
-    assert again.filter("doc_id = 5000").first().spans[0].kind == "assign"
+    monkeypatch.setattr(secrets, "scan_blobs", counted)
+    found = secrets.scan(docs, ledger)
     plain = lambda df: Counter((r.doc_id, r.blob, str(r.spans)) for r in df.collect())
-    assert plain(again.filter("doc_id <> 5000")) == plain(found)
-    assert secrets.scan(docs, ledger, version=2)[1].count() == ledger.count()
+    first = plain(found)
+    assert plain(secrets.scan(docs, ledger)) == first and read == [docs.select(F.coalesce("text", F.lit(""))).distinct().count(), 0]
+    more = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit("token = abcdefghijklmnop")}))
+    again = secrets.scan(more, ledger)
+    assert read[2:] == [1] and again.count() == sum(first.values()) + 1
+    assert again.filter("doc_id IS NULL").first().spans[0].kind == "assign"
+    assert plain(again.filter("doc_id IS NOT NULL")) == first
+    # Changed rules are another version: everything is read again, and old findings are not used.
+    longer = (secrets.Rule("assign", secrets.RULES[0].pattern, 2, 17), *secrets.RULES[1:])
+    other = secrets.scan(more, ledger, longer)
+    assert read[3] == read[0] + 1 and other.filter("doc_id IS NULL").first().spans == []
+
+
+def test_secrets_in_a_very_long_text(spark):
+    text = "x" * 3_000_000 + " token = abcdefghijklmnop " + "deadbeef" * 200_000
+    got = secrets.counted(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (got.n_assign, got.n_access, got.n_hex) == (1, 0, 1) and got.spans == f"assign:3000001:3000025,hex:3000026:{len(text)}"
+
+
+def test_substring_dedup_with_null_and_repeated_ids(spark):
+    """Every row goes by its own text, whatever its id; -1 is an id like any other."""
+    r = random.Random(4)
+    words = lambda n: [f"w{r.getrandbits(30)}" for _ in range(n)]
+    passage = words(60)
+    with_passage = [" ".join(words(20) + passage + words(20)) for _ in range(4)]
+    alone = [" ".join(words(90)) for _ in range(4)]
+    rows = [(None, with_passage[0]), (-1, alone[0]), (None, alone[1]), (7, with_passage[1]), (7, alone[2]), (-1, with_passage[2]), (8, alone[3]), (8, alone[3]), (None, None), (None, with_passage[3])]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = lambda t: 60 if t in with_passage else 90 if t == alone[3] else 0
+    kept = lambda t: "" if t == alone[3] else " ".join(w for w in (t or "").split() if w not in passage)
+    assert Counter((x.doc_id, x.n_words, x.n_removed, x.kept.decode()) for x in got) == Counter((k, len((t or "").split()), removed(t), kept(t)) for k, t in rows)
