@@ -1,11 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words and of the byte n-grams inside and at the ends of
-words; a softmax over two classes follows. Both layers are trained on the driver by stochastic gradient descent in
-numpy, over a bounded sample of labelled documents. As the output is linear in the average, scoring needs one number
-for each hash bucket: the difference of the two outputs of its vector.
-
-A word that repeats the word before it counts as one more, special word.
+A document is the average of learned vectors of its hashed words, pairs of adjacent words, and the character n-grams
+inside and at the ends of words; a softmax over two classes follows. Both layers are trained on the driver by stochastic
+gradient descent in numpy, over a bounded sample of labelled documents. As the output is linear in the average, scoring
+needs one number for each hash bucket: the difference of the two outputs of its vector.
 """
 
 from __future__ import annotations
@@ -18,22 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WordHashes, fold, row_blocks, ship
+from .common import WordHashes, bounded_batches, fold, row_blocks, ship
 
 ship(__name__)
 
 ORDERS, GRAM_BITS, WORD_BITS, DIM = (3, 4), 17, 17, 12
-BUCKETS = (1 << GRAM_BITS) + (1 << WORD_BITS) + 1
+BUCKETS = (1 << GRAM_BITS) + (2 << WORD_BITS)
 #: Labelled documents that training takes at most (in expectation), by their id's hash; passes; first step size.
 MAX_TRAIN_DOCS, EPOCHS, RATE = 4000, 4, 0.6
 CHUNK = 1 << 19
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_PAIR, _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(data: np.ndarray, starts: int) -> np.ndarray:
-    """Buckets of the byte n-grams at the first `starts` places that hold white space at their ends only."""
-    space, out = _SPACE[data], []
-    h = data.astype(np.uint32)
+    """Buckets of the n-grams of code points at the first `starts` places that hold white space at their ends only."""
+    space, out = (data == 32) | ((data >= 9) & (data <= 13)), []
+    h = data
     inner = np.zeros(len(data), bool)
     for order in range(2, max(ORDERS) + 1):
         n = len(data) - order + 1
@@ -49,18 +47,17 @@ def grams(data: np.ndarray, starts: int) -> np.ndarray:
 
 def features(text: str | None, known: WordHashes) -> Iterator[np.ndarray]:
     """The buckets of a text, with repetitions, in pieces of bounded size."""
-    raw = b" " + (text or "").encode("utf-8", "surrogatepass") + b" "
-    data = np.frombuffer(raw, np.uint8)
-    for begin in range(0, len(data), CHUNK):
-        yield grams(data[begin : begin + CHUNK + max(ORDERS) - 1], CHUNK)
-    words = raw.split()
+    text = text or ""
+    for begin in range(0, len(text) + 2, CHUNK):
+        # One space before and after the text.
+        part = text[max(0, begin - 1) : begin + CHUNK + max(ORDERS) - 2]
+        part = (" " if not begin else "") + part + (" " if begin + CHUNK + max(ORDERS) - 2 > len(text) else "")
+        yield grams(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), CHUNK)
+    words = text.encode("utf-8", "surrogatepass").split()
     for begin in range(0, len(words), CHUNK):
         h = np.fromiter(map(known.__getitem__, words[max(0, begin - 1) : begin + CHUNK]), np.uint64)
-        same = int((h[1:] == h[:-1]).sum())
-        own = h[min(begin, 1) :]
-        yield ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - WORD_BITS)).astype(np.int64) + (1 << GRAM_BITS)
-        if same:
-            yield np.full(same, BUCKETS - 1)
+        yield ((h[min(begin, 1) :] * _SPREAD) >> np.uint64(64 - WORD_BITS)).astype(np.int64) + (1 << GRAM_BITS)
+        yield (((h[:-1] * _PAIR ^ h[1:]) * _SPREAD) >> np.uint64(64 - WORD_BITS)).astype(np.int64) + ((1 << GRAM_BITS) + (1 << WORD_BITS))
 
 
 def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -117,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "q
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """`docs` without the text, with score: the probability of label 1. Null and blank texts get the bias alone."""
+    """`docs` without the text, with score: the probability of label 1. Null and blank texts get what a space gets."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if f.name not in (text_col, "score")]
 
@@ -134,7 +132,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, learned from labels whose crc32(doc_id) mod 4 is not 2.
 
-    Repeated rows are scored each. Rows of `labels` without a document teach nothing. Other columns are ignored.
+    Repeated rows are scored each and equal texts equally; texts of any length are read whole, in parts. Rows of
+    `labels` without a document or a label teach nothing; a document with several label rows, or several rows of an id,
+    teaches each combination. Null ids stay null and have no labels. Other columns are ignored; an empty table gives an
+    empty result.
     """
     held = fold("doc_id", 4, 2)
     model = train(docs, labels, ~held)
