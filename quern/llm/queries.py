@@ -56,8 +56,7 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return counted(found)
+    return counted(scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +86,21 @@ ORACLE_SQL: dict[str, str] = {
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
         g AS (SELECT t, count(*) AS group_size, arg_max(doc_id, struct_pack(a := cp, b := -doc_id)) AS keep_id FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)""",
+    "op8_secrets": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        rule(kind, k, pattern, grp, least) AS (VALUES
+            ('assign', 0, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+            ('access', 1, 'AKIA([A-Z0-9]+)', 1, 14),
+            ('hex', 2, '([0-9a-f]+)', 1, 16)),
+        m AS (
+            SELECT doc_id, 'assign' AS kind, regexp_extract_all(x, (SELECT pattern FROM rule WHERE k = 0), 0) AS hit, regexp_extract_all(x, (SELECT pattern FROM rule WHERE k = 0), 2) AS body, string_split_regex(x, (SELECT pattern FROM rule WHERE k = 0)) AS gap FROM d
+            UNION ALL SELECT doc_id, 'access', regexp_extract_all(x, (SELECT pattern FROM rule WHERE k = 1), 0), regexp_extract_all(x, (SELECT pattern FROM rule WHERE k = 1), 1), string_split_regex(x, (SELECT pattern FROM rule WHERE k = 1)) FROM d
+            UNION ALL SELECT doc_id, 'hex', regexp_extract_all(x, (SELECT pattern FROM rule WHERE k = 2), 0), regexp_extract_all(x, (SELECT pattern FROM rule WHERE k = 2), 1), string_split_regex(x, (SELECT pattern FROM rule WHERE k = 2)) FROM d),
+        each AS (SELECT doc_id, kind, unnest(hit) AS hit, unnest(body) AS body, unnest(gap[1:len(hit)]) AS gap, unnest(range(1, len(hit) + 1)) AS i FROM m),
+        placed AS (SELECT doc_id, e.kind, k, least, length(body) AS n, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, e.kind ORDER BY i) AS stop, length(hit) AS size FROM each e JOIN rule USING (kind)),
+        span AS (SELECT doc_id, kind, k, stop - size AS start, stop FROM placed WHERE n >= least),
+        listed AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM span GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (doc_id)""",
     "op9_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),

@@ -2,20 +2,22 @@
 
 Every version of every document is addressed by the sha256 of its text. The ledger remembers which blobs were scanned
 under which version of the rules and what was found; a scan reads only blobs that the ledger lacks for the present
-rules, each once, and findings are joined back to all documents (paths, versions) that hold the blob.
+rules, each once, and findings are joined back to all documents (paths, versions) that hold the blob. The version of
+rules is a digest of the rules themselves, so that changed rules never meet old findings.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_blocks, ship, text_of
+from .common import Scratch, bounded_batches, row_blocks, ship, text_of
 
 ship(__name__)
 
@@ -36,10 +38,27 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
-#: Ledger entries of other rules carry another version.
-RULES_VERSION = 1
 SPANS = "array<struct<kind: string, begin: int, end: int>>"
-FOUND = f"blob string, rules int, spans {SPANS}"
+FOUND = f"blob string, rules string, spans {SPANS}"
+
+
+def rules_version(rules: tuple[Rule, ...]) -> str:
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()[:32]
+
+
+class Ledger:
+    """An append-only table of findings in a folder that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], FOUND).write.mode("append").parquet(path)
+
+    def rows(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, spans) of what was scanned under these rules."""
+        return self.spark.read.schema(FOUND).parquet(self.path).filter(F.col("rules") == rules_version(rules)).select("blob", "spans")
+
+    def append(self, found: DataFrame) -> None:
+        found.write.mode("append").parquet(self.path)
 
 
 def compiled(rules: tuple[Rule, ...]) -> list[tuple[Rule, re.Pattern]]:
@@ -53,36 +72,39 @@ def spans_of(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[str,
     return [(kind, begin, end) for begin, _, kind, end in sorted(found)]
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: int = RULES_VERSION) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, text) -> blob, rules, spans: a ledger row for each blob, also for those without findings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = compiled(rules)
+        patterns, version = compiled(rules), rules_version(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in row_blocks(batch, "text"):
                 spans = [[dict(zip(("kind", "begin", "end"), x, strict=True)) for x in spans_of(t, patterns)] for t in part["text"].to_pylist()]
-                yield pa.record_batch([part["blob"], pa.array([version] * part.num_rows, pa.int32()), pa.array(spans, kind)], ["blob", "rules", "spans"])
+                yield pa.record_batch([part["blob"], pa.array([version] * part.num_rows, pa.string()), pa.array(spans, kind)], ["blob", "rules", "spans"])
 
     return blobs.select("blob", "text").mapInArrow(run, FOUND)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: int = RULES_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row per input row: id, blob, spans; the rows to append to the ledger).
+def unseen(paths: DataFrame, ledger: Ledger, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, text), once each, of the blobs that the ledger lacks under these rules."""
+    return paths.select("blob", "text").dropDuplicates(["blob"]).join(ledger.rows(rules).select("blob"), "blob", "left_anti")
+
+
+def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, blob, spans; the ledger (a new one if none is given) learns the blobs it lacked.
 
-    Spans are in code points, the end exclusive, by start and then by rule. A null text counts as empty. Rows that
-    repeat an id (versions) or a text are all listed; equal texts are scanned once. Other columns are ignored. An empty
-    table gives empty results.
+    Spans are in code points, the end exclusive, by start and then by rule. A null text counts as empty, null ids stay
+    null. Rows that repeat an id (versions) or a text are all listed; equal texts are scanned once. Texts of any length
+    are read whole. Other columns are ignored. An empty table gives an empty result. A writer that fails half way leaves
+    the ledger as it was, and one blob that two writers append at a time is listed once.
     """
-    scratch = Scratch(docs.sparkSession, "secrets")
+    bounded_batches(docs.sparkSession)
+    ledger = ledger or Ledger(docs.sparkSession, f"{Scratch(docs.sparkSession, 'secrets').root}/ledger")
     paths = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    unseen = paths.select("blob", "text").dropDuplicates(["blob"])
-    if ledger is not None:
-        unseen = unseen.join(ledger.filter(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    fresh = scratch.keep(scan_blobs(unseen, rules, version), "fresh")
-    known = fresh if ledger is None else fresh.unionByName(ledger.filter(F.col("rules") == version).select("blob", "rules", "spans"))
-    out = paths.select("id", "blob").join(known.select("blob", "spans").hint("merge"), "blob", "left").select(F.col("id").alias(id_col), "blob", "spans")
-    return out, fresh
+    ledger.append(scan_blobs(unseen(paths, ledger, rules), rules))
+    known = ledger.rows(rules).groupBy("blob").agg(F.first("spans").alias("spans"))
+    return paths.select("id", "blob").join(known.hint("merge"), "blob", "left").select(F.col("id").alias(id_col), "blob", "spans")
 
 
 def counted(found: DataFrame, id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
