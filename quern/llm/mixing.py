@@ -78,12 +78,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
     """One row per input row: id, size, source_size, target, taken, copies, rate, and row_col if given, which orders rows of one id.
 
     size: words of the text; a null or blank text has none and is taken with 0 words. A null source is a source of its
-    own, after all others. Rows that repeat an id are documents of their own. A source without words has target 0.
+    own, after all others. Rows that repeat an id, or have none (a null id stays null), are documents of their own, told
+    apart and put in order by a hash of their text. A source without words has target 0.
     Reruns agree: nothing is drawn. Other columns are ignored. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     row = [row_col] if row_col else []
-    sized = scratch.keep(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size")), "sized")
+    sized = scratch.keep(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_of(text_col)).alias("tie")), "sized")
     by_size = scratch.keep(sized.groupBy("source", "size").count(), "by_size")
     totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"), F.sum("count").alias("n"))
     sources = scratch.keep(source_targets(totals, share, cap, weights), "sources")
@@ -99,13 +100,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
     classes = scratch.keep(classes.join(sources.select("sid", "source_size", "target"), "sid").select("source", "sid", "size", "rate", "base", "buckets", "source_size", "target"), "classes")
 
     placed = sized.join(classes, sized["source"].eqNullSafe(classes["source"]) & (sized["size"] == classes["size"])).select(
-        *row, "id", sized["size"], "sid", "rate", "base", "source_size", "target", F.pmod(F.xxhash64("id"), F.col("buckets")).alias("bucket")
+        *row, "id", "tie", sized["size"], "sid", "rate", "base", "source_size", "target", F.pmod(F.xxhash64("id", "tie", *row), F.col("buckets")).alias("bucket")
     )
     placed = scratch.keep(placed, "placed")
     counts = scratch.keep(placed.groupBy("sid", "size", "bucket").count(), "counts")
     earlier = Window.partitionBy("sid", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("sid", "size", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("skipped"))
-    at = F.col("skipped") + F.row_number().over(Window.partitionBy("sid", "size", "bucket").orderBy("id", *row))
+    at = F.col("skipped") + F.row_number().over(Window.partitionBy("sid", "size", "bucket").orderBy("id", "tie", *row))
     upto = lambda k: F.floor(F.col("base") + F.col("rate") * k + 0.5)
     return (
         placed.join(counts, ["sid", "size", "bucket"]).withColumn("at", at).withColumn("copies", upto(F.col("at")) - upto(F.col("at") - 1))

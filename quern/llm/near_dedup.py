@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, WordHashes, mixed, row_blocks, ship, text_of
+from .common import Scratch, WordHashes, bounded_batches, mixed, row_blocks, ship, text_of
 from .components import components
 
 ship(__name__)
@@ -134,6 +134,7 @@ class NearDuplicates:
         self.docs, self.threshold, self.shingle = docs, threshold, shingle
         #: Linked sets differ in at most `slack` times the sum of their sizes.
         self.slack = (100 - threshold) / (100 + threshold)
+        bounded_batches(docs.sparkSession)
         self.scratch = Scratch(docs.sparkSession, "near")
         self.rows = self.scratch.keep(sketch_rows(docs, shingle), "rows")
         # A class is a distinct set; it has a number of its own (node) and its smallest id, which classes may share.

@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from pyspark.sql.types import StructField, StructType
 
-from .common import Scratch, WordHashes, mixed, row_blocks, ship, text_of
+from .common import Scratch, WordHashes, bounded_batches, mixed, row_blocks, ship, text_of
 
 ship(__name__)
 
@@ -39,11 +39,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def text_mark(text: str | None) -> int:
-    """16 bits that tell texts apart where rows repeat an id."""
-    return xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) & 0xFFFF
-
-
 def pairwise(left: np.ndarray, right: np.ndarray, seed: np.uint64) -> np.ndarray:
     return mixed(left * seed + (right ^ (right >> np.uint64(29))) + seed)
 
@@ -74,22 +69,23 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, ...] | None:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (anchor, around, id, at): `at` packs first start, owned starts less one, and the text's mark."""
+    """(k1, k2, text) -> (anchor, around, k1, k2, at): `at` packs the first start and the owned starts less one."""
     known = WordHashes()
     for batch in batches:
         for part in row_blocks(batch, "text"):
-            a, b, ids, at = [], [], [], []
-            for key, text in zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True):
+            a, b, at, sizes = [], [], [], np.zeros(part.num_rows, np.int64)
+            for row, text in enumerate(part["text"].to_pylist()):
                 words = words_of(text)
                 found = anchors(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
                 if found:
                     hashes, around, _, first, last = found
                     a.append(hashes)
                     b.append(around)
-                    ids.append(np.full(len(first), key, np.int64))
-                    at.append((first.astype(np.int64) << 21) | ((last - first).astype(np.int64) << 16) | text_mark(text))
+                    at.append((first.astype(np.int64) << 5) | (last - first).astype(np.int64))
+                    sizes[row] = len(first)
             if a:
-                yield pa.record_batch([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at))], ["anchor", "around", "id", "at"])
+                keys = [pa.array(np.repeat(part[k].to_numpy(), sizes)) for k in ("k1", "k2")]
+                yield pa.record_batch([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64)), *keys, pa.array(np.concatenate(at))], ["anchor", "around", "k1", "k2", "at"])
 
 
 def spelled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,19 +95,14 @@ def spelled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for part in row_blocks(batch, "text"):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for text, spots in zip(part["text"].to_pylist(), part["spots"], strict=True):
-                mark, words = text_mark(text), words_of(text)
-                rows = spots.values
+                words, rows = words_of(text), spots.values
                 at, cls, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                own = (at & 0xFFFF) == mark
-                at, cls, n = at[own], cls[own], n[own]
-                if not len(at):
-                    continue
                 h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                 _, half, whole = window_hashes(h, SEEDS[0])
                 other = window_hashes(h, SEEDS[1])[2]
-                sizes = ((at >> 16) & 31) + 1
+                sizes = (at & 31) + 1
                 offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                start = np.repeat(at >> 21, sizes) + offset
+                start = np.repeat(at >> 5, sizes) + offset
                 for k, x in enumerate((half[start].view(np.int64), whole[start].view(np.int64), other[start].view(np.int64), np.repeat(cls, sizes), offset, np.repeat(n, sizes))):
                     out[k].append(x.astype(np.int64))
             if out[0]:
@@ -128,11 +119,9 @@ def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(words))
                 if cover.is_valid:
                     at, mask = (cover.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                    own = (at & 0xFFFF) == text_mark(text)
-                    at, mask = at[own], mask[own]
                     hit = (mask[:, None] >> np.arange(OWNED)) & 1
                     row, offset = np.nonzero(hit)
-                    start = (at[row] >> 21) + offset
+                    start = (at[row] >> 5) + offset
                     change = np.bincount(start, minlength=len(words) + 1)[: len(words) + 1] - np.bincount(start + WINDOW, minlength=len(words) + 1)[: len(words) + 1]
                     left = np.cumsum(change)[: len(words)] == 0
                     words = [w for w, ok in zip(words, left.tolist(), strict=True) if ok]
@@ -145,23 +134,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, n_words, n_removed, kept (binary: the words that stay, joined by one space).
 
     Windows are judged on the input. Null, empty and blank texts have no words; texts of fewer than 35 words lose
-    nothing. Repeated rows are documents of their own, so that each makes the other's windows repeated. Rows that repeat
-    an id with other texts are told apart by 16 bits of the text's hash. A null id counts as -1. Other columns are
-    ignored. An empty table gives an empty result.
+    nothing. Repeated rows are documents of their own, so that each makes the other's windows repeated. Rows are known by
+    128 bits over id and text, so that rows that repeat an id, or have none, go by their own texts; null ids stay null.
+    Other columns are ignored. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substring")
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), text_of(text_col).alias("text"))
-    found = scratch.keep(texts.mapInArrow(anchor_rows, "anchor long, around long, id long, at long"), "anchors")
+    text, key = text_of(text_col), ["k1", "k2"]
+    keyed = docs.select(F.xxhash64(id_col, text).alias("k1"), F.xxhash64(text, F.lit(1), id_col).alias("k2"), text.alias("text"), F.col(id_col).alias("id"))
+    texts = keyed.drop("id")
+    found = scratch.keep(texts.mapInArrow(anchor_rows, "anchor long, around long, k1 long, k2 long, at long"), "anchors")
 
     again = scratch.keep(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "again")
     left = scratch.keep(found.join(again.hint("merge"), "anchor", "left_semi"), "left")
     scratch.drop("anchors", "again")
 
-    classes = scratch.keep(left.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "classes")
+    classes = scratch.keep(left.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")), "classes")
     several = scratch.keep(classes.groupBy("anchor").count().filter("count > 1").select("anchor"), "several")
     open_ = scratch.keep(classes.join(several.hint("merge"), "anchor", "left_semi").withColumn("class", F.monotonically_increasing_id()), "open")
-    spots = open_.groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "class", "n")).alias("spots"))
-    spelled = texts.join(scratch.keep(spots, "spots").hint("merge"), "id").select("text", "spots")
+    spots = open_.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "class", "n")).alias("spots"))
+    spelled = texts.join(scratch.keep(spots, "spots").hint("merge"), key).select("text", "spots")
     spelled = scratch.keep(spelled.mapInArrow(spelled_windows, "half long, whole_a long, whole_b long, class long, offset long, n long"), "spelled")
 
     halves = scratch.keep(spelled.groupBy("half").agg(F.sum("n").alias("n")).filter("n > 1").select("half"), "halves")
@@ -172,12 +164,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     masks = scratch.keep(masks, "masks")
     scratch.drop("extended", "wholes")
 
-    every = F.expr("shiftleft(1L, CAST(shiftright(at, 16) & 31 AS INT) + 1) - 1")
+    every = F.expr("shiftleft(1L, CAST(at & 31 AS INT) + 1) - 1")
     settled = scratch.keep(open_.join(masks, "class", "left").select("anchor", "around", "mask"), "settled")
     sure = classes.select("anchor", "around", "n")
     cover = left.join(scratch.keep(sure.join(settled, ["anchor", "around"], "left").filter("n > 1 OR mask IS NOT NULL"), "verdicts").hint("merge"), ["anchor", "around"])
-    cover = scratch.keep(cover.select("id", "at", F.when(F.col("n") > 1, every).otherwise(F.col("mask")).alias("mask")), "cover")
+    cover = scratch.keep(cover.select(*key, "at", F.when(F.col("n") > 1, every).otherwise(F.col("mask")).alias("mask")), "cover")
     scratch.drop("left", "classes", "several", "open", "settled", "verdicts", "masks", "spots")
-    by_doc = scratch.keep(cover.groupBy("id").agg(F.collect_list(F.struct("at", "mask")).alias("cover")), "by_doc")
-    out = texts.join(by_doc.hint("merge"), "id", "left").mapInArrow(kept_words, "id long, n_words long, n_removed long, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    # Rows that repeat id and text have equal covers; a set keeps one, so that it never outgrows a text.
+    by_doc = scratch.keep(cover.groupBy(*key).agg(F.collect_set(F.struct("at", "mask")).alias("cover")), "by_doc")
+    out = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL("n_words long, n_removed long, kept binary")])
+    return keyed.join(by_doc.hint("merge"), key, "left").mapInArrow(kept_words, out).withColumnRenamed("id", id_col)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, row_blocks, ship
+from .common import bounded_batches, fold, row_blocks, ship
 
 ship(__name__)
 
@@ -237,6 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "t
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
     """`docs` without the text, with score: how toxic the worst unit is. Null and blank texts score near 0."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if f.name not in (text_col, "score")]
 
