@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words, pairs of adjacent words, and the character n-grams
-inside and at the ends of words; a softmax over two classes follows. Both layers are trained on the driver by stochastic
+A document is the average of learned vectors of its hashed words, unordered pairs of adjacent words, and the character
+n-grams inside and at the ends of words; a softmax over two classes follows. Both layers are trained on the driver by stochastic
 gradient descent in numpy, over a bounded sample of labelled documents. As the output is linear in the average, scoring
 needs one number for each hash bucket: the difference of the two outputs of its vector.
 """
@@ -25,7 +25,7 @@ BUCKETS = (1 << GRAM_BITS) + (2 << WORD_BITS)
 #: Labelled documents that training takes at most (in expectation), by their id's hash; passes; first step size.
 MAX_TRAIN_DOCS, EPOCHS, RATE = 4000, 4, 0.6
 CHUNK = 1 << 19
-_PAIR, _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(data: np.ndarray, starts: int) -> np.ndarray:
@@ -57,7 +57,8 @@ def features(text: str | None, known: WordHashes) -> Iterator[np.ndarray]:
     for begin in range(0, len(words), CHUNK):
         h = np.fromiter(map(known.__getitem__, words[max(0, begin - 1) : begin + CHUNK]), np.uint64)
         yield ((h[min(begin, 1) :] * _SPREAD) >> np.uint64(64 - WORD_BITS)).astype(np.int64) + (1 << GRAM_BITS)
-        yield (((h[:-1] * _PAIR ^ h[1:]) * _SPREAD) >> np.uint64(64 - WORD_BITS)).astype(np.int64) + ((1 << GRAM_BITS) + (1 << WORD_BITS))
+        # A pair's hash is the XOR of its words', so that every word next to itself is the same pair.
+        yield (((h[:-1] ^ h[1:]) * _SPREAD) >> np.uint64(64 - WORD_BITS)).astype(np.int64) + ((1 << GRAM_BITS) + (1 << WORD_BITS))
 
 
 def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
