@@ -157,6 +157,11 @@ def xor_encode(data: bytes, width: int) -> bytes:
 
 
 def xor_decode(code: bytes, width: int) -> bytes:
+    return xor_decoded_part(code, width)[0]
+
+
+def xor_decoded_part(code: bytes, width: int) -> tuple[bytes, int]:
+    """The values' bytes, and how many bytes of `code` they took."""
     n = struct.unpack_from("<I", code)[0]
     bits, full, ring, window, out = _Bits(code[4:]), 8 * width, [], (0, 0), []
     for i in range(n):
@@ -181,7 +186,7 @@ def xor_decode(code: bytes, width: int) -> bytes:
         else:
             ring[i % RING] = v
         out.append(v)
-    return np.array(out, f"<u{width}").tobytes()
+    return np.array(out, f"<u{width}").tobytes(), 4 + (bits.at + 7) // 8
 
 
 def _floats_udf(function, kind: str):

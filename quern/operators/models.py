@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A batch is worth vectorising from so many bytes and items; window without a segment; latencies kept.
@@ -20,6 +24,17 @@ def next_keys(access: DataFrame, batch: str = "batch", pos: str = "pos", key: st
     return triples.groupBy("key1", "key2").agg(F.max_by("key3", F.struct(batch, pos)).alias("next_key"))
 
 
+#: Fixed value: requests that are remembered.
+HISTORY = 32
+
+
+def recent_sequences(access: DataFrame, stream: str, batch: str, pos: str, key: str) -> DataFrame:
+    """stream, batch, keys (in order) of the last HISTORY batches of each stream."""
+    sequences = access.groupBy(stream, batch).agg(F.array_sort(F.collect_list(F.struct(pos, key))).alias("keys")).withColumn("keys", F.col(f"keys.{key}"))
+    back = F.row_number().over(Window.partitionBy(stream).orderBy(F.desc(batch)))
+    return sequences.withColumn("back", back).filter(F.col("back") <= HISTORY).drop("back")
+
+
 def prediction_hits(access: DataFrame, batch: str = "batch", pos: str = "pos", key: str = "key") -> DataFrame:
     """How often the recorded successor is what follows: predictions, hits, hit_rate."""
     order = Window.partitionBy(batch).orderBy(pos)
@@ -94,11 +109,36 @@ def spline_windows(points: DataFrame, probes: DataFrame, eps: int, group: str =
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, percents: list[float]) -> DataFrame:
-    """group, percent, value at rank round((n - 1) * percent / 100), halves away from zero."""
-    order = Window.partitionBy(group).orderBy(value)
-    ranked = values.select(group, value, (F.row_number().over(order) - 1).alias("rank"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    wanted = ranked.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
-    return wanted.filter(F.col("rank") == F.round((F.col("n") - 1) * F.col("percent") / 100)).select(group, "percent", F.col(value).alias("value"))
+    """group, percent, value at rank round((n - 1) * percent / 100), halves away from zero.
+
+    Equal values are counted first; the window holds one row for each distinct value of a group. Nulls don't count.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("value")).agg(F.count("*").alias("times"))
+    upto = Window.partitionBy(group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"end": F.sum("times").over(upto), "n": F.sum("times").over(Window.partitionBy(group))})
+    rank = lambda p: F.round((F.col("n") - 1) * p / 100)
+    wanted = F.filter(F.array(*map(F.lit, percents)), lambda p: (rank(p) < F.col("end")) & (rank(p) >= F.col("end") - F.col("times")))
+    return ranked.select(group, F.explode(wanted).alias("percent"), "value")
+
+
+def format_bytes(size: Column) -> Column:
+    """A size as text, in the largest unit of 1024 that it fills."""
+    unit = lambda power, name: F.format_string(f"%.2f {name}", size / float(1024**power))
+    return F.when(size >= 1 << 30, unit(3, "GB")).when(size >= 1 << 20, unit(2, "MB")).when(size >= 1 << 10, unit(1, "KB")).otherwise(F.format_string("%d B", size.cast("long")))
+
+
+def gaussian_weights(spark: SparkSession, rows: int, elements: int, deviation: float = 0.02, seed: int = 0) -> DataFrame:
+    """id, data: `elements` normal float32 as bytes, by the polar form of two uniform draws; a row depends on seed and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key in batch["id"].to_pylist():
+                u = np.random.default_rng([seed, key]).random((2, -(-elements // 2)))
+                radius, angle = deviation * np.sqrt(-2 * np.log1p(-u[0])), 2 * np.pi * u[1]
+                x = np.concatenate([radius * np.cos(angle), radius * np.sin(angle)])[:elements].astype("<f4")
+                yield pa.record_batch([pa.array([key]), pa.array([x.tobytes()], pa.binary())], ["id", "data"])
+
+    return spark.range(rows).mapInArrow(run, "id long, data binary")
 
 
 def mean_and_deviation(values: DataFrame, group: str, value: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys of a request that are sent to all executors; longer requests are joined by key.
+MOST_BROADCAST = 100_000
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -26,8 +28,9 @@ def get(log: DataFrame, key: str) -> DataFrame:
 def get_batch(log: DataFrame, keys: list[str]) -> DataFrame:
     """The keys' live values with `pos`, the place in the request; missing keys are left out, repeated ones repeat."""
     asked = log.sparkSession.createDataFrame(list(enumerate(keys)), "pos long, key string")
-    wanted = log.filter(F.col("key").isin(*set(keys))) if len(keys) <= 100 else log.join(F.broadcast(asked.select("key").distinct()), "key", "left_semi")
-    return F.broadcast(asked).join(latest(wanted), "key")
+    small = F.broadcast if len(keys) <= MOST_BROADCAST else lambda df: df
+    wanted = log.filter(F.col("key").isin(*set(keys))) if len(keys) <= 100 else log.join(small(asked.select("key").distinct()), "key", "left_semi")
+    return small(asked).join(latest(wanted), "key")
 
 
 def prefix(log: DataFrame, start: str) -> DataFrame:
@@ -84,8 +87,12 @@ def compacted(log: DataFrame, keep: int = 1) -> DataFrame:
     """Live keys with their last `keep` versions."""
     if keep == 1:
         return latest(log)
+    return last_versions(current_versions(log), keep)
+
+
+def last_versions(rows: DataFrame, keep: int) -> DataFrame:
     back = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
-    return current_versions(log).withColumn("back", back).filter(F.col("back") <= keep).drop("back")
+    return rows.withColumn("back", back).filter(F.col("back") <= keep).drop("back")
 
 
 def diff(left: DataFrame, right: DataFrame, on: str = "content_hash") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import bytesfn, chunking, codecs
 from .operators import models
 from .plans import views
+from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,8 +225,6 @@ def s23_tree_rollup(spark, sf_dir):
 
 @query("s24_verify")
 def s24_verify(spark, sf_dir):
-    from .llm.common import Scratch
-
     chunks = l3(spark, sf_dir).select("key", F.col("payload").cast("binary").alias("payload"))
     return verified(Scratch(spark, "verify").keep(chunks.withColumn("crc32", F.crc32("payload")), "chunks"))
 
@@ -262,15 +261,25 @@ def e2_codec_decision(spark, sf_dir):
     return e1_entropy(spark, sf_dir).select("seq", bytesfn.codec_decision(F.col("bits")).alias("codec"))
 
 
-MONOTONIC = "WITH s AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY idx) AS before FROM l6), m AS (SELECT series, count(*) AS n, CAST(sum(CASE WHEN value >= before AND value - before < 1000 THEN 1 ELSE 0 END) AS BIGINT) AS steps FROM s WHERE idx <= 64 GROUP BY series) SELECT series, n, steps, n >= {least} AND steps > floor(n * 3 / 4) AS monotonic FROM m"
+MONOTONIC = "WITH v AS (SELECT user_id AS series, CAST(floor(CASE WHEN user_id % 4 = 0 THEN event_id ELSE value * 100 END) AS BIGINT) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx FROM events), s AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY idx) AS before FROM v), m AS (SELECT series, count(*) AS n, CAST(sum(CASE WHEN value >= before AND value - before < 100000 THEN 1 ELSE 0 END) AS BIGINT) AS steps FROM s WHERE idx <= 64 GROUP BY series) SELECT series, n, steps, n >= 8 AND steps > floor(n * 3 / 4) AS monotonic FROM m"
 
 
-@query("a4_monotonic", MONOTONIC.format(least=4))
+@query("a4_monotonic", MONOTONIC)
 def a4_monotonic(spark, sf_dir):
-    return bytesfn.monotonic_trend(l6(spark, sf_dir), "series", "idx", "value", least=4)
+    """Users' events, as orders have too few lines for a trend; a quarter of the users has ascending values."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), "event_id", F.floor(F.when(F.col("user_id") % 4 == 0, F.col("event_id")).otherwise(F.col("value") * 100)).cast("long").alias("value"))
+    rows = e.withColumn("idx", F.row_number().over(Window.partitionBy("series").orderBy("event_id")))
+    return bytesfn.monotonic_trend(rows, "series", "idx", "value", step=100_000)
+
 
+NEAR = "SELECT vec_id, count_if(near) >= n * 3 // 4 AS correlated FROM (SELECT vec_id, n, k, xor(b, lag(b) OVER (PARTITION BY vec_id ORDER BY k)) < 1048576 AS near FROM bits) GROUP BY vec_id, n"
+#: The bits of the first 64 floats: exponent and mantissa of normal numbers, zero otherwise.
+FLOAT_BITS = "f AS (SELECT vec_id, least(len(embedding), 64) AS n, unnest(range(1, least(len(embedding), 64) + 1)) AS k, CAST(unnest(embedding[1:64]) AS DOUBLE) AS x FROM embeddings), e AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE CAST(floor(log2(abs(x))) AS BIGINT) END AS e0 FROM f), g AS (SELECT *, CASE WHEN x <> 0 AND abs(x) >= pow(2.0, e0 + 1) THEN e0 + 1 WHEN x <> 0 AND abs(x) < pow(2.0, e0) THEN e0 - 1 ELSE e0 END AS ex FROM e), bits AS (SELECT vec_id, n, k, CASE WHEN x = 0 THEN 0 ELSE CASE WHEN x < 0 THEN 2147483648 ELSE 0 END + (ex + 127) * 8388608 + CAST(round((abs(x) / pow(2.0, ex) - 1) * 8388608) AS BIGINT) END AS b FROM g)"
 
-@query("a3_correlated")
+
+@query("a3_correlated", f"WITH {FLOAT_BITS} {NEAR}", logs=False)
 def a3_correlated(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", bytesfn.correlated_floats(F.col("embedding")).alias("correlated"))
 
@@ -408,12 +417,12 @@ def e5_next_key(spark, sf_dir):
     return models.next_keys(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
-@query("e6_recent_sequences", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) WHERE back <= 32", logs=False)
+@query("e6_recent_sequences", "WITH q AS (SELECT user_id, event_id // 64 AS request, list(event_type ORDER BY event_id) AS keys FROM events GROUP BY 1, 2) SELECT user_id, request, len(keys) AS n, keys[1] AS first FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY request DESC) AS back FROM q) WHERE back <= 32", logs=False)
 def e6_recent_sequences(spark, sf_dir):
-    from pyspark.sql import Window
-
-    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", back.alias("back")).filter("back <= 32").drop("back")
+    """The last 32 requests of each user, a request being the events of one stretch of 64 event ids."""
+    e = table(spark, sf_dir, "events").withColumn("request", F.floor(F.col("event_id") / 64).cast("long"))
+    kept = models.recent_sequences(e, "user_id", "request", "event_id", "event_type")
+    return kept.select("user_id", "request", F.size("keys").cast("long").alias("n"), F.col("keys")[0].alias("first"))
 
 
 @query("e7_prefetch_stats", f"{NEXT} SELECT count(*) AS predictions, CAST(count_if(key3 = next_key) AS BIGINT) AS hits, round(count_if(key3 = next_key) / count(*), 6) AS hit_rate FROM t JOIN n USING (key1, key2) WHERE key3 IS NOT NULL", logs=False)
@@ -431,6 +440,11 @@ def b2_mean_deviation(spark, sf_dir):
     return models.mean_and_deviation(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
+@query("b5_format_bytes", "WITH s AS (SELECT event_id, event_id * event_id * 9 AS size FROM events) SELECT event_id, CASE WHEN size >= 1073741824 THEN format('{:.2f} GB', size / 1073741824) WHEN size >= 1048576 THEN format('{:.2f} MB', size / 1048576) WHEN size >= 1024 THEN format('{:.2f} KB', size / 1024) ELSE format('{:d} B', size) END AS size FROM s", logs=False)
+def b5_format_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", models.format_bytes(F.col("event_id") * F.col("event_id") * 9).alias("size"))
+
+
 @query("m9_attrs", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, octet_length(encode(props)) <= 4096 AS fits FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL", logs=False)
 def m9_attrs(spark, sf_dir):
     attrs = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("attrs"), (F.octet_length("props") <= 4096).alias("fits"))
@@ -442,6 +456,23 @@ def r12_elements(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "value")).select("vec_id", F.col("idx").cast("long").alias("idx"), "value")
 
 
+@query("f7_filter_dispatch", "WITH h AS (SELECT seq, CASE seq % 3 WHEN 0 THEN 'none' ELSE 'byte_shuffle' END AS filter, CASE seq % 3 WHEN 2 THEN 2 ELSE 4 END AS w, hex(encode(payload)) AS h FROM l5), n AS (SELECT *, length(h) // (2 * w) AS n FROM h) SELECT seq, filter, CASE filter WHEN 'none' THEN h ELSE array_to_string(list_transform(range(n * w), lambda i: substr(h, 2 * ((i % n) * w + i // n) + 1, 2)), '') || substr(h, n * w * 2 + 1) END AS data FROM n")
+def f7_filter_dispatch(spark, sf_dir):
+    """Orders' priorities under a filter of their own: none, bytes of pairs, bytes of fours."""
+    rows = l5(spark, sf_dir).select("seq", F.when(F.col("seq") % 3 == 0, "none").otherwise("byte_shuffle").alias("filter"), F.when(F.col("seq") % 3 == 2, 2).otherwise(4).alias("w"), F.col("payload").cast("binary").alias("data"))
+    return rows.select("seq", "filter", F.hex(codecs.filtered(F.col("data"), F.col("filter"), F.col("w"))).alias("data"))
+
+
+@query("c8_codec_dispatch")
+def c8_codec_dispatch(spark, sf_dir):
+    """Documents by a codec and filter of their own, coded and decoded; tests hold the codecs against their libraries."""
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("seq") % len(names) + 1).cast("int"))
+    rows = l3(spark, sf_dir).select("seq", F.col("payload").cast("binary").alias("data"), pick("raw", "lz4", "zstd").alias("codec"), pick("none", "byte_shuffle", "bit_shuffle", "delta_zigzag").alias("filter"))
+    coded = rows.withColumn("code", codecs.encoded(F.col("data"), F.col("codec"), F.col("filter"), F.lit(4), F.lit(3)))
+    back = codecs.decoded(F.col("code"), F.col("codec"), F.col("filter"), F.lit(4))
+    return coded.select("seq", "codec", "filter", F.octet_length("code").alias("size"), F.md5(back).alias("content_hash"))
+
+
 @query("c2_zstd_roundtrip", "SELECT seq, content_hash FROM l3")
 def c2_zstd_roundtrip(spark, sf_dir):
     back = l3(spark, sf_dir).select("seq", codecs.unzstd(codecs.zstd(F.col("payload").cast("binary"))).alias("data"))

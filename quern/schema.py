@@ -24,7 +24,8 @@ REF = struct("ord int, content_hash string, len int")
 
 LOG = struct("seq bigint, key string, op string, dtype string, shape ints").add("attrs", ATTRS).add("retain", "string").add("data", "binary")
 TOC = T.StructType([f for f in LOG.fields if f.name != "data"]).add("refs", T.ArrayType(REF)).add("committed_at", T.TimestampNTZType())
-CHUNKS = struct("content_hash string, len int, crc32 bigint, payload binary")
+#: `len` counts plain bytes; `crc32` is of the payload as stored, which codec, filter and the elements' width describe.
+CHUNKS = struct("content_hash string, len int, crc32 bigint, payload binary, codec string, filter string, width int")
 
 #: An attribute's largest value in bytes; a checkpoint's bytes and seconds; parts of a default archive.
 MAX_ATTR_BYTES, CHECKPOINT_BYTES, CHECKPOINT_SECONDS, DEFAULT_SHARDS = 4096, 64 * 1024 * 1024, 60, 4

@@ -1,9 +1,9 @@
 """A stored archive: Parquet tables for the log and the chunks, and commit manifests that say which files count.
 
-    <path>/toc/commit=N/       log rows with chunk references, without payloads
-    <path>/chunks/commit=N/    content-addressed payloads; a content is stored once
+    <path>/toc/commit=N-*/     log rows with chunk references, without payloads
+    <path>/chunks/commit=N-*/  content-addressed payloads; a content is stored once
     <path>/_commits/N.json     manifest: the directories that make up snapshot N, and a checksum over itself
-    <path>/_lock               exists while a writer holds the archive
+    <path>/_lock               exists while a writer holds the archive: who, and when it last committed
 
 A commit is the rename of its manifest. Readers take the newest valid manifest and never see directories of a commit
 that didn't finish; the next writer removes those. All files go through Spark's file systems.
@@ -14,12 +14,13 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chunking
+from ..functions import chunking, codecs
 from ..plans import views
 from ..schema import (
     ATTRS,
@@ -64,9 +65,9 @@ class Files:
         finally:
             stream.close()
 
-    def write_new(self, name: str, text: str) -> None:
-        """Fails if the file exists."""
-        stream = self.fs.create(self.path(name), False)
+    def write_new(self, name: str, text: str, over: bool = False) -> None:
+        """Fails if the file exists, unless it may be written over."""
+        stream = self.fs.create(self.path(name), over)
         try:
             stream.write(bytearray(text.encode()))
         finally:
@@ -91,12 +92,22 @@ def typed_attr(value: object) -> dict:
 
 
 class Archive:
-    """One archive; see the module's docstring. Modes: r reads; a and w+ append, w starts anew; all but r create."""
+    """One archive; see the module's docstring. Modes: r reads; a and w+ append, w starts anew; all but r create.
 
-    def __init__(self, spark: SparkSession, path: str, mode: str = "r", shards: int = DEFAULT_SHARDS):
+    A writer that dies leaves its lock. `break_lock` removes it; with a `lease`, a writer takes over a lock whose owner
+    has not committed for so many seconds. Whoever lost the lock can't commit any more.
+
+    `codec` and `filt` (names of functions.codecs; "auto" picks both for each chunk) say how this writer stores chunks;
+    readers take them from the chunks. Plain chunks are left to Parquet's LZ4.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, mode: str = "r", shards: int = DEFAULT_SHARDS, lease: float | None = None, codec: str = "raw", filt: str = "none"):
         if mode not in ("r", "a", "w", "w+"):
             raise ValueError(mode)
+        if codec not in (*codecs.CODECS, "auto") or filt not in codecs.FILTERS:
+            raise ValueError(f"{codec} {filt}")
         self.spark, self.files, self.mode, self.closed = spark, Files(spark, path), mode, False
+        self.codec, self.filt = codec, filt
         self.pending: list[tuple] = []
         self.pending_bytes, self.since = 0, time.monotonic()
         self.manifest = self._newest()
@@ -104,14 +115,48 @@ class Archive:
             if self.manifest is None:
                 raise ArchiveError(f"no archive at {path}")
             return
+        self.owner = uuid.uuid4().hex
+        if lease is not None and (held := self._held()) and time.time() - held["at"] > lease:
+            # The rename succeeds for one of those that try.
+            self.files.rename("_lock", f"_lock.{held['owner']}")
+            self.files.delete(f"_lock.{held['owner']}")
         try:
-            self.files.write_new("_lock", str(time.time()))
+            self.files.write_new("_lock", self._mark())
         except Exception as e:
             raise AlreadyLocked(path) from e
+        self.manifest = self._newest()
         self._clean()
         if self.manifest is None or mode == "w":
             self._publish({"toc": [], "chunks": [], "next_seq": 0, "shards": max(1, shards), "batches": {}, "global_attrs": {}})
 
+    # Lock --------------------------------------------------------------------------------------------------------
+
+    def _mark(self) -> str:
+        return json.dumps({"owner": self.owner, "at": time.time()})
+
+    def _held(self) -> dict | None:
+        """Who holds the lock; a lock that can't be read is as old as can be."""
+        if not self.files.exists("_lock"):
+            return None
+        try:
+            found = json.loads(self.files.read("_lock"))
+            return {"owner": str(found["owner"]), "at": float(found["at"])}
+        except (ValueError, KeyError, TypeError):
+            return {"owner": "unknown", "at": 0.0}
+
+    def _owned(self) -> None:
+        if (self._held() or {}).get("owner") != self.owner:
+            raise AlreadyLocked(f"{self.files.root}: another writer took over")
+
+    def _directory(self) -> str:
+        """A name for the next commit's directories that no other writer uses."""
+        return f"commit={self._last_number() + 1}-{self.owner[:12]}"
+
+    @staticmethod
+    def break_lock(spark: SparkSession, path: str) -> None:
+        """Remove the lock of a writer that is known to be dead."""
+        Files(spark, path).delete("_lock")
+
     # Snapshots ---------------------------------------------------------------------------------------------------
 
     def _newest(self) -> dict | None:
@@ -130,6 +175,7 @@ class Archive:
         return max((int(n[:-5]) for n in self.files.names("_commits") if n.endswith(".json") and n[:-5].isdigit()), default=-1)
 
     def _publish(self, manifest: dict, final: bool = False) -> None:
+        self._owned()
         n = self._last_number() + 1
         body = manifest | {"number": n, "final": final}
         text = json.dumps(body | {"sha256": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()})
@@ -137,6 +183,7 @@ class Archive:
         if not self.files.rename(f"_commits/.{n}.tmp", f"_commits/{n}.json"):
             raise ArchiveError(f"commit {n} exists")
         self.manifest = body
+        self.files.write_new("_lock", self._mark(), over=True)
 
     def _clean(self) -> None:
         known = set(self.manifest["toc"] + self.manifest["chunks"]) if self.manifest else set()
@@ -184,32 +231,53 @@ class Archive:
 
         Payloads are chunked on the executors; a content that the archive or the batch has already is not stored again.
         A `batch` (stream, number) that was committed before is left out, which makes retries harmless. Writes to one
-        key count in the order of `ordered_by`, else in that of the table's partitions.
+        key count in the order of `ordered_by`; without it a table must hold a key once, as which of two writes is the
+        later one is then not defined.
         """
         self._writable()
+        self._owned()
         self._settle()
         if batch and self.manifest["batches"].get(batch[0], -1) >= batch[1]:
             return
-        n, base = self._last_number() + 1, self.manifest["next_seq"]
+        n, base = self._directory(), self.manifest["next_seq"]
         given = set(rows.columns)
         fill = {"op": F.lit("put"), "dtype": F.lit("uint8"), "shape": F.array(F.octet_length("data") if "data" in given else F.lit(0)), "attrs": F.create_map().cast(ATTRS), "retain": F.lit("keep_latest"), "data": F.lit(None).cast("binary")}
         if ordered_by:
             rows = rows.orderBy(ordered_by)
         rows = rows.select("key", *(F.col(c) if c in given else x.alias(c) for c, x in fill.items())).withColumn("seq", F.monotonically_increasing_id() + base)
-        rows.write.parquet(f"{self.files.root}/_staging/commit={n}/rows")
-        staged = self.spark.read.schema(LOG).parquet(f"{self.files.root}/_staging/commit={n}/rows")
-        chunking.segments(staged.filter("op = 'put'"), "seq", "data").write.parquet(f"{self.files.root}/_staging/commit={n}/segments")
-        cut = self.spark.read.parquet(f"{self.files.root}/_staging/commit={n}/segments")
+        rows.write.parquet(f"{self.files.root}/_staging/{n}/rows")
+        staged = self.spark.read.schema(LOG).parquet(f"{self.files.root}/_staging/{n}/rows")
+        chunking.segments(staged.filter("op = 'put'"), "seq", "data").write.parquet(f"{self.files.root}/_staging/{n}/segments")
+        cut = self.spark.read.parquet(f"{self.files.root}/_staging/{n}/segments")
+        # Hashes decide which payloads are stored; payloads are joined to the few that are, and move only if many are.
         known = self.chunks().select("content_hash")
-        fresh = cut.join(known, "content_hash", "left_anti").dropDuplicates(["content_hash"])
-        fresh.select("content_hash", "len", F.crc32("payload").alias("crc32"), "payload").write.option("compression", "lz4_raw").parquet(f"{self.files.root}/chunks/commit={n}")
+        first = cut.select("content_hash", "seq", "ord").join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.min(F.struct("seq", "ord")).alias("first"))
+        fresh = cut.join(first.select("first.*"), ["seq", "ord"], "left_semi")
+        self._stored(fresh, staged).write.option("compression", "lz4_raw").parquet(f"{self.files.root}/chunks/{n}")
         refs = cut.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("ord", "content_hash", "len"))).alias("refs"))
         toc = staged.drop("data").join(refs, "seq", "left").withColumns({"refs": F.coalesce("refs", F.array().cast(TOC["refs"].dataType)), "committed_at": F.localtimestamp()})
-        toc.select(*TOC.names).sortWithinPartitions("key", "seq").write.parquet(f"{self.files.root}/toc/commit={n}")
-        top = self.spark.read.schema(TOC).parquet(f"{self.files.root}/toc/commit={n}").agg(F.max("seq")).first()[0]
+        toc.select(*TOC.names).sortWithinPartitions("key", "seq").write.parquet(f"{self.files.root}/toc/{n}")
+        top = self.spark.read.schema(TOC).parquet(f"{self.files.root}/toc/{n}").agg(F.max("seq")).first()[0]
         batches = self.manifest["batches"] | ({batch[0]: batch[1]} if batch else {})
-        self._publish(self.manifest | {"toc": [*self.manifest["toc"], f"toc/commit={n}"], "chunks": [*self.manifest["chunks"], f"chunks/commit={n}"], "next_seq": base if top is None else top + 1, "batches": batches})
-        self.files.delete(f"_staging/commit={n}")
+        self._publish(self.manifest | {"toc": [*self.manifest["toc"], f"toc/{n}"], "chunks": [*self.manifest["chunks"], f"chunks/{n}"], "next_seq": base if top is None else top + 1, "batches": batches, "coded": self.manifest.get("coded", False) or self._codes()})
+        self.files.delete(f"_staging/{n}")
+
+    def _codes(self) -> bool:
+        return (self.codec, self.filt) != ("raw", "none")
+
+    def _stored(self, fresh: DataFrame, staged: DataFrame) -> DataFrame:
+        """CHUNKS of segments (seq, content_hash, len, payload), each by its codec and filter."""
+        if not self._codes():
+            rows = fresh.withColumns({"codec": F.lit("raw"), "filter": F.lit("none"), "width": F.lit(1)})
+        else:
+            widths = F.create_map(*(F.lit(x) for name, kind in DTYPES.items() for x in (name, kind.width)))
+            rows = fresh.join(staged.select("seq", "dtype"), "seq").withColumn("width", widths[F.col("dtype")])
+            if self.codec == "auto":
+                rows = rows.withColumn("how", codecs.picked(F.col("payload"), F.col("width"), F.col("dtype").isin("float64", "float32", "float16", "bfloat16")))
+            else:
+                rows = rows.withColumn("how", F.struct(F.lit(self.codec).alias("codec"), F.lit(self.filt).alias("filter"), F.lit(3).alias("level")))
+            rows = rows.withColumns({"codec": F.col("how.codec"), "filter": F.col("how.filter"), "payload": codecs.encoded(F.col("payload"), F.col("how.codec"), F.col("how.filter"), F.col("width"), F.col("how.level"))})
+        return rows.withColumn("crc32", F.crc32("payload")).select(*CHUNKS.names)
 
     def _settle(self) -> None:
         if self.pending:
@@ -231,7 +299,13 @@ class Archive:
     def __enter__(self) -> Archive:
         return self
 
-    def __exit__(self, *_: object) -> None:
+    def __exit__(self, kind: object, *_: object) -> None:
+        """A body that raised leaves what it had not flushed."""
+        if kind is not None:
+            self.pending, self.pending_bytes = [], 0
+            if self.mode != "r" and not self.closed and (self._held() or {}).get("owner") == self.owner:
+                self.files.delete("_lock")
+            self.closed = True
         self.close()
 
     def set_attr(self, key: str, name: str, value: object) -> None:
@@ -254,10 +328,14 @@ class Archive:
     def assembled(self, entries: DataFrame) -> DataFrame:
         """Entries (seq, refs, ...) with their `data`; a chunk that fails its checksum or is missing stops the query."""
         part = entries.select("seq", F.explode("refs").alias("ref")).select("seq", "ref.ord", "ref.content_hash")
-        intact = F.when(F.crc32("payload") == F.col("crc32"), F.hex("payload")).otherwise(F.raise_error(F.concat(F.lit("checksum mismatch in chunk "), "content_hash")).cast("string"))
-        joined = part.join(self.chunks(), "content_hash", "left").withColumn("hex", intact)
-        whole = joined.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("ord", "hex"))).alias("parts"))
-        whole = whole.select("seq", F.unhex(F.array_join(F.col("parts.hex"), "")).alias("data"))
+        intact = F.when(F.crc32("payload") == F.col("crc32"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("checksum mismatch in chunk "), "content_hash")).cast("binary"))
+        joined = part.join(self.chunks(), "content_hash", "left").withColumn("payload", intact)
+        if self.manifest.get("coded"):
+            joined = joined.withColumn("payload", codecs.decoded(F.col("payload"), F.coalesce("codec", F.lit("raw")), F.coalesce("filter", F.lit("none")), F.coalesce("width", F.lit(1))))
+        whole = joined.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("ord", "payload"))).alias("parts"))
+        # Most payloads are one chunk; Spark joins arrays of strings only, hence the digits for the others.
+        several = F.unhex(F.array_join(F.transform("parts.payload", F.hex), ""))
+        whole = whole.select("seq", F.when(F.size("parts") == 1, F.col("parts")[0]["payload"]).otherwise(several).alias("data"))
         return entries.join(whole, "seq", "left").withColumn("data", F.coalesce("data", F.lit(b"")))
 
     def latest(self) -> DataFrame:
@@ -331,16 +409,17 @@ class Archive:
     def compact(self, keep: int = 1, dry_run: bool = False) -> dict[str, int]:
         """Rewrite the archive with each live key's last `keep` surviving versions and the chunks that these need."""
         toc = self.toc()
-        kept = views.compacted(toc, keep)
+        kept = views.latest(toc) if keep == 1 else views.last_versions(views.retained(toc), keep)
         before, after = toc.count(), kept.count()
         if not dry_run:
             self._writable()
-            n, old = self._last_number() + 1, self.manifest
-            kept.select(*TOC.names).write.parquet(f"{self.files.root}/toc/commit={n}")
-            stored = self.spark.read.schema(TOC).parquet(f"{self.files.root}/toc/commit={n}")
+            self._owned()
+            n, old = self._directory(), self.manifest
+            kept.select(*TOC.names).write.parquet(f"{self.files.root}/toc/{n}")
+            stored = self.spark.read.schema(TOC).parquet(f"{self.files.root}/toc/{n}")
             used = stored.select(F.explode("refs.content_hash").alias("content_hash")).distinct()
-            self.chunks().join(used, "content_hash", "left_semi").write.option("compression", "lz4_raw").parquet(f"{self.files.root}/chunks/commit={n}")
-            self._publish(old | {"toc": [f"toc/commit={n}"], "chunks": [f"chunks/commit={n}"]})
+            self.chunks().join(used, "content_hash", "left_semi").write.option("compression", "lz4_raw").parquet(f"{self.files.root}/chunks/{n}")
+            self._publish(old | {"toc": [f"toc/{n}"], "chunks": [f"chunks/{n}"]})
         return {"entries": before, "kept": after}
 
     def export(self, path: str) -> None:

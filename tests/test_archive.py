@@ -97,14 +97,14 @@ def test_torn_commit_and_uncommitted_files(spark, path):
 
 def test_corruption_is_found(spark, path):
     with compat.Database(spark, path, "w") as db:
-        db["important"] = np.full(8192, 0x33, np.uint8)
+        db["ledger"] = np.arange(6000, dtype=np.uint16)
     with Archive(spark, path, "a") as a:
         bad = a.chunks().selectExpr("content_hash", "len", "crc32 + 1 AS crc32", "payload")
         bad.write.parquet(f"{path}/chunks/commit=bad")
         a._publish(a.manifest | {"chunks": ["chunks/commit=bad"]})
         assert a.verify().count() == 1
         with pytest.raises(Exception, match="checksum mismatch"):
-            a.get("important").collect()
+            a.get("ledger").collect()
 
 
 def test_attributes(spark, path):
@@ -174,3 +174,65 @@ def test_prediction_outlives_the_kept_requests():
     for keys in (["a", "b", "c"], *([f"x{k}", "y", "z"] for k in range(40)), ["p", "q"]):
         reader.get_batch(keys)
     assert len(reader.requests) == 32 and reader.predict_next("a", "b") == "c" and reader.predict_next("p", "q") is None
+
+
+def test_lock_of_a_dead_writer(spark, path):
+    dead = Archive(spark, path, "w")
+    dead.put("kept", b"one")
+    dead.flush()
+    dead.put("lost", b"two")
+    os.makedirs(f"{path}/chunks/commit=99")  # what a commit that didn't finish leaves
+    with pytest.raises(AlreadyLocked):
+        Archive(spark, path, "a", lease=3600)
+    with Archive(spark, path, "a", lease=0) as heir:
+        assert heir.keys() == ["kept"] and not os.path.exists(f"{path}/chunks/commit=99")
+        with pytest.raises(AlreadyLocked):
+            dead.flush()
+        heir.put("more", b"three")
+    assert Archive(spark, path, "r").keys() == ["kept", "more"]
+    Archive(spark, path, "a")
+    Archive.break_lock(spark, path)
+    with Archive(spark, path, "a") as a:
+        assert a.keys() == ["kept", "more"]
+
+
+def test_a_body_that_raises_leaves_what_it_had_not_flushed(spark, path):
+    with pytest.raises(RuntimeError), Archive(spark, path, "w") as a:
+        a.put("kept", b"one")
+        a.flush()
+        a.put("lost", b"two")
+        raise RuntimeError
+    with Archive(spark, path, "a") as a:
+        assert a.keys() == ["kept"]
+
+
+def test_compact_counts_surviving_versions_only(spark, path):
+    with Archive(spark, path, "w") as a:
+        for k in range(5):
+            a.put("x", bytes([k]) * 3, retain="keep_last_n:2")
+            a.put("y", bytes([k, k]), retain="keep_forever")
+        assert a.compact(3) == {"entries": 10, "kept": 5}
+        assert [bytes(r["data"]) for r in a.assembled(a.toc().filter("key = 'x'")).orderBy("seq").collect()] == [b"\3" * 3, b"\4" * 3]
+
+
+@pytest.mark.parametrize(("codec", "filt"), [("lz4", "none"), ("zstd", "byte_shuffle"), ("zstd", "delta_zigzag"), ("lz4", "bit_shuffle"), ("chimp", "none"), ("auto", "none")])
+def test_codecs_and_filters_of_chunks(spark, path, codec, filt):
+    rng = np.random.default_rng(2)
+    values = {
+        "ramp": np.linspace(2, 2.001, 900, dtype=np.float32), "noise": rng.normal(size=700), "steps": np.cumsum(rng.integers(0, 9, 5000)).astype(np.int64),
+        "bytes": np.frombuffer(rng.bytes(70_001), np.uint8), "text": np.frombuffer(b"the same words again " * 9000, np.uint8), "empty": np.zeros(0, np.float32), "half": rng.normal(size=33).astype(np.float16),
+    }
+    with Archive(spark, path, "w", codec=codec, filt=filt) as a:
+        for k, v in values.items():
+            data, dtype, shape = compat.parts_of(v)
+            a.put(k, data, dtype, shape)
+    with compat.Database(spark, path, "r") as db:
+        got = db.get_batch(list(values))
+        assert all(got[k].dtype == v.dtype and got[k].tobytes() == v.tobytes() for k, v in values.items())
+        used = {(r["codec"], r["filter"]) for r in db.archive.chunks().select("codec", "filter").distinct().collect()}
+        assert used == {(codec, filt)} if codec != "auto" else {"chimp", "zstd"} <= {c for c, _ in used} and ("zstd", "delta_zigzag") in used
+        assert db.archive.verify().count() == 0
+        if codec == "zstd":
+            assert db.archive.chunks().selectExpr("sum(octet_length(payload)) < sum(len)").first()[0]
+    with pytest.raises(ValueError):
+        Archive(spark, path, "a", codec="none such")

@@ -39,7 +39,7 @@ def test_xor_codec_keeps_bits(values):
 
 
 def test_xor_codec_special_values():
-    data = np.array([0.0, -0.0, np.inf, -np.inf, np.nan, 5e-324, 1e30, -1e-30] * 30 + [42.5] * 5000, "<f8").tobytes()
+    data = np.array([0.0, -0.0, np.inf, -np.inf, np.nan, 5e-324, 1e30, -1e-30] * 30 + [-7.125] * 3000, "<f8").tobytes()
     code = chunking.xor_encode(data, 8)
     assert chunking.xor_decode(code, 8) == data and len(code) < len(data) / 3
 
@@ -77,7 +77,7 @@ def test_default_chunks_are_bounded():
 
 @pytest.mark.parametrize("width", [1, 2, 4, 8])
 def test_byte_shuffle_odd_lengths(spark, width):
-    rows = [(n, bytearray((i * 31) % 256 for i in range(n))) for n in range(0, 40)]
+    rows = [(n, bytearray(random.Random(n).randbytes(n))) for n in range(0, 40)]
     df = spark.createDataFrame(rows, "n int, data binary").withColumn("s", bytesfn.byte_shuffle(F.col("data"), width)).withColumn("back", bytesfn.byte_unshuffle(F.col("s"), width))
     for r in df.collect():
         n = len(r.data) // width
@@ -104,9 +104,9 @@ def test_next_key(spark):
 
 
 def test_prefetch_depth(spark):
-    rows = [(i, 1e-4) for i in range(50)] + [(50 + i, 5e-3) for i in range(10)]
-    got = {r.seq: r.depth for r in models.prefetch_depth(spark.createDataFrame(rows, "seq long, seconds double"), 10_000, 2, 64).collect()}
-    assert got[49] == 2 and 2 < got[59] <= 64
+    rows = [(i, 2e-4) for i in range(40)] + [(40 + i, 9e-3) for i in range(12)]
+    got = {r.seq: r.depth for r in models.prefetch_depth(spark.createDataFrame(rows, "seq long, seconds double"), 6_000, 2, 64).collect()}
+    assert got[39] == 2 and 2 < got[51] <= 64
     zero = models.prefetch_depth(spark.createDataFrame([(1, 0.0)], "seq long, seconds double"), 10, 2, 64).first()
     assert zero.depth == 2
 
@@ -126,15 +126,15 @@ def test_spline_windows(spark):
 
 
 def test_range_exists(spark):
-    keys = spark.createDataFrame([(k,) for k in ("apple", "banana", "cherry")], "key string")
-    asked = [(0, "apple", "apple"), (1, "b", "bz"), (2, "zebra", "zz"), (3, "banana", "a"), (4, "bb", "cb"), (5, "a", "aa")]
+    keys = spark.createDataFrame([(k,) for k in ("fir", "larch", "spruce")], "key string")
+    asked = [(0, "fir", "fir"), (1, "l", "lz"), (2, "yew", "zz"), (3, "larch", "a"), (4, "lb", "sq"), (5, "f", "fa")]
     for bucket in (1, 3, 12):
         got = {r.range_id: r.hit for r in models.range_exists(keys, spark.createDataFrame(asked, "range_id int, lo string, hi string"), bucket).collect()}
         assert got == {0: True, 1: True, 2: False, 3: True, 4: False, 5: False}
 
 
 def test_vectorised_batch(spark):
-    rows = spark.createDataFrame([(10, 100 * 1024), (32, 5 * 1024 * 1024)], "n int, b long").select(models.vectorised_batch(F.col("n"), F.col("b")).alias("v"))
+    rows = spark.createDataFrame([(15, 3 << 20), (16, 2 << 20)], "n int, b long").select(models.vectorised_batch(F.col("n"), F.col("b")).alias("v"))
     assert [r.v for r in rows.collect()] == [False, True]
 
 
@@ -182,3 +182,61 @@ def test_verify_finds_a_damaged_chunk(spark, tmp_path, monkeypatch):
     damaged = F.when(F.col("key").endswith("/3"), F.lit("other").cast("binary")).otherwise(F.col("payload"))
     monkeypatch.setattr(Scratch, "keep", lambda self, df, name: keep(self, df, name).withColumn("payload", damaged))
     assert q.s24_verify(spark, str(tmp_path)).collect() == [(5, 1)]
+
+
+def test_lz4_is_the_library_block_after_its_size():
+    import pyarrow as pa
+
+    from quern.functions import codecs
+
+    for data in (b"", b"x", random.Random(5).randbytes(3000), b"again and " * 500):
+        code = codecs.lz4_of(data)
+        assert int.from_bytes(code[:4], "little") == len(data) and codecs.unlz4_of(code) == data
+        assert not data or pa.decompress(code[4:], len(data), codec="lz4_raw", asbytes=True) == data
+
+
+def test_blocks_of_any_length_come_back(spark):
+    from quern.functions import codecs
+
+    r = random.Random(6)
+    for n in (0, 1, 3, 7, 8, 63, 1000):
+        data = r.randbytes(n)
+        for codec in codecs.CODECS:
+            for filt in codecs.FILTERS:
+                for width in (4, 8):
+                    assert codecs.decode_block(codecs.encode_block(data, codec, filt, width), codec, filt, width) == data
+    with pytest.raises(KeyError):
+        codecs.encode_block(b"x", "brotli")
+
+
+def test_gaussian_weights(spark):
+    rows = {r["id"]: np.frombuffer(r["data"], "<f4") for r in models.gaussian_weights(spark, 5, 9001, 0.5, seed=3).collect()}
+    x = np.concatenate([rows[k] for k in range(5)])
+    assert len(x) == 45005 and abs(x.mean()) < 0.02 and abs(x.std() - 0.5) < 0.02 and abs((np.abs(x) < 0.5).mean() - 0.6827) < 0.02
+    again = models.gaussian_weights(spark, 2, 9001, 0.5, seed=3).filter("id = 1").first()
+    assert bytes(again["data"]) == rows[1].tobytes()
+
+
+def test_correlated_floats_against_plain_bits(spark):
+    r = random.Random(7)
+    rows = [[r.uniform(-1, 1) for _ in range(n)] for n in (0, 3, 4, 80)] + [[1 + k / 1e6 for k in range(n)] for n in (3, 4, 64, 100)] + [[1.0] * 70 + [r.random()] * 9]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x array<float>").select("k", bytesfn.correlated_floats(F.col("x")).alias("c")).collect()
+    for g in got:
+        bits = [int(np.float32(v).view(np.uint32)) for v in rows[g.k][:64]]
+        near = sum((a ^ b) < (1 << 20) for a, b in zip(bits, bits[1:]))
+        assert g.c == (len(bits) >= 4 and near >= len(bits) * 3 // 4)
+
+
+def test_nearest_rank_with_ties_and_nulls(spark):
+    r = random.Random(8)
+    rows = [(k % 3, float(r.randrange(20)) if r.random() < 0.9 else None) for k in range(900)]
+    got = {(x.g, x.percent): x.value for x in models.nearest_rank(spark.createDataFrame(rows, "g int, v double"), "g", "v", [0.0, 50.0, 99.0, 100.0]).collect()}
+    for g in range(3):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert all(got[g, p] == own[int((len(own) - 1) * p / 100 + 0.5)] for p in (0.0, 50.0, 99.0, 100.0))
+
+
+def test_recent_sequences(spark):
+    rows = [("u", b, p, f"{b}.{p}") for b in range(40) for p in range(3)] + [("v", 1, 0, "only")]
+    got = {(x.u, x.b): x["keys"] for x in models.recent_sequences(spark.createDataFrame(rows, "u string, b long, p long, key string"), "u", "b", "p", "key").collect()}
+    assert got == {("u", b): [f"{b}.{p}" for p in range(3)] for b in range(8, 40)} | {("v", 1): ["only"]}
