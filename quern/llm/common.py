@@ -1,14 +1,9 @@
-"""What the operators share: scratch tables in the cluster's shared folder, words, hashes and folds."""
+"""What the operators share: words, hashes, folds and bounded batches."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from ..scratch import Scratch as Scratch
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
 #: A maximal run of anything else.
@@ -32,41 +29,6 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-@lru_cache(maxsize=1)
-def _local_root() -> str:
-    root = tempfile.mkdtemp(prefix="quern-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return root
-
-
-class Scratch:
-    """Intermediate tables of one operator call, written under spark.checkpoint.dir.
-
-    A written table cuts the lineage as a checkpoint does: a lost executor costs a re-read, not a recomputation.
-    The folder is taken from the session; only where none is set (tests on one machine) a temporary one is made.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = _local_root()
-        self.spark, self.root = spark, f"{root.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it back."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bytes of an Arrow batch that goes to a Python worker, about; one row at least.
 BATCH_BYTES = 8 << 20
 
