@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, bounded_batches, list_blocks, row_blocks, ship, text_of
+from .common import Scratch, bounded_batches, list_blocks, row_blocks, ship, text_of, tidied
 
 ship(__name__)
 
@@ -304,13 +304,13 @@ class ByteBPE:
         scratch = Scratch(texts.sparkSession, "bpe")
         n = texts.count()
         taken = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n))))
-        counted = taken.mapInArrow(counted_words(self.pattern), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+        counted = taken.mapInArrow(tidied(counted_words(self.pattern)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = scratch.keep(counted, "counted")
         distinct = counted.count()
         if distinct > COMMON_WORDS:
             least = counted.agg(F.percentile_approx("n", 1 - COMMON_WORDS / distinct)).first()[0]
             counted = counted.filter(F.col("n") > least)
-        lists = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(256))).repartition(64, "part").groupBy("part").agg(F.collect_list("word").alias("words"))
+        lists = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(256))).repartition(16, "part").groupBy("part").agg(F.collect_list("word").alias("words"))
         out = lists.select(F.explode(F.arrays_zip("words", self.fold(F.col("words")).alias("ids"))).alias("w")).select("w.words", "w.ids").toArrow()
         scratch.drop("counted")
         return out
@@ -325,7 +325,7 @@ class ByteBPE:
         words, ids, pieces = (context.broadcast(x) for x in (column(0, pa.binary()), column(1, pa.list_(pa.int32())), self.pieces()))
         ints = ArrayType(IntegerType())
         fields = [StructField("id", ArrayType(docs.schema[id_col].dataType)), StructField("sizes", ints), StructField("codes", ints)]
-        blocks = rows.mapInArrow(number_words(self.pattern, lambda: words.value, lambda: pieces.value), StructType([*StructType.fromDDL("number long"), *fields, *StructType.fromDDL("fresh array<binary>, long array<array<int>>, anew boolean")]))
+        blocks = rows.mapInArrow(tidied(number_words(self.pattern, lambda: words.value, lambda: pieces.value)), StructType([*StructType.fromDDL("number long"), *fields, *StructType.fromDDL("fresh array<binary>, long array<array<int>>, anew boolean")]))
         return blocks.withColumn("fresh", self.fold(F.col("fresh"))), join_words(lambda: ids.value)
 
     def _coded(self, docs: DataFrame, id_col: str, text_col: str, fields: str, *steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -339,7 +339,7 @@ class ByteBPE:
             return out
 
         schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(fields)])
-        return blocks.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        return blocks.mapInArrow(tidied(run), schema).withColumnRenamed("id", id_col)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per input row: id, ids (array of int).
@@ -378,7 +378,7 @@ class ByteBPE:
     def decode(self, encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """(id, ids) -> id, ids, decoded (binary). Null ids decode to no bytes; an id outside the vocabulary fails."""
         out = StructType([StructField("id", encoded.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), *StructType.fromDDL("decoded binary")])
-        return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(self._decoder(encoded), out).withColumnRenamed("id", id_col)
+        return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(tidied(self._decoder(encoded)), out).withColumnRenamed("id", id_col)
 
 
 def joined(table: pa.Array, lists: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -413,4 +413,4 @@ def digest_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     kind = decoded.schema[id_col].dataType
     out = StructType([StructField("id", kind), *StructType.fromDDL(DIGESTS)])
-    return decoded.select(F.col(id_col).alias("id"), "ids", "decoded").mapInArrow(digest_lists, out).withColumnRenamed("id", id_col)
+    return decoded.select(F.col(id_col).alias("id"), "ids", "decoded").mapInArrow(tidied(digest_lists), out).withColumnRenamed("id", id_col)

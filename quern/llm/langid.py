@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bounded_batches, fold, quoted, row_blocks, ship
+from .common import bounded_batches, fold, quoted, row_blocks, ship, tidied
 
 ship(__name__)
 
@@ -125,7 +125,7 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
     n = rows.count()
     rows = rows.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_docs / max(1, n)))).drop("h")
-    got = rows.mapInArrow(count_ngrams, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(tidied(count_ngrams), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names, bucket, n = got["lang"].to_pylist(), got["bucket"].to_numpy(), got["n"].to_numpy()
     langs = sorted(set(names), key=lambda x: x.encode())
     if not langs:
@@ -182,16 +182,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", with_text: b
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if (with_text or f.name != text_col) and f.name.lower() not in (pred_col.lower(), score_col.lower())]
-    names = [*(f.name for f in rest), pred_col, score_col]
+    # Columns go by their place: mapInArrow looks names up as they are, which fails for some.
+    fields = [StructField(f"c{k}", f.dataType) for k, f in enumerate(rest)] + [StructField("pred", StringType()), StructField("score", DoubleType())]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_blocks(batch, text_col):
-                langs, scores = score_texts(shared.value, [t or "" for t in part[text_col].to_pylist()])
-                yield pa.record_batch([*(part[f.name] for f in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+            for part in row_blocks(batch, "text"):
+                langs, scores = score_texts(shared.value, [t or "" for t in part["text"].to_pylist()])
+                yield pa.record_batch([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    taken = docs.select(*(quoted(f.name) for f in rest), *([] if with_text else [text_col]))
-    return taken.mapInArrow(run, StructType([*rest, StructField(pred_col, StringType()), StructField(score_col, DoubleType())]))
+    taken = docs.select(*(quoted(f.name).alias(c) for f, c in zip(rest, names, strict=False)), quoted(text_col).alias("text"))
+    return taken.mapInArrow(tidied(run), StructType(fields)).toDF(*(f.name for f in rest), pred_col, score_col)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, WordHashes, bounded_batches, mixed, row_blocks, ship, text_of
+from .common import Scratch, WordHashes, bounded_batches, mixed, row_blocks, ship, text_of, tidied
 from .components import components
 
 ship(__name__)
@@ -91,7 +91,7 @@ def sketch_rows(docs: DataFrame, n: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
                 yield pa.record_batch({"id": part["id"], "n_shingles": pa.array(sizes, pa.int64()), "set_a": pa.array(a, pa.int64()), "set_b": pa.array(b, pa.int64()), "sketch": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64), pa.int64()))})
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, sketch array<long>")
+    return docs.select("id", "text").mapInArrow(tidied(run), "id long, n_shingles long, set_a long, set_b long, sketch array<long>")
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
@@ -106,7 +106,7 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
                 a, b = ([xxh3_64_intdigest(x.tobytes(), seed) - (1 << 63) for x in sets] for seed in (1, 2))
                 yield pa.record_batch({"id": part["id"], "set_a": pa.array(a, pa.int64()), "set_b": pa.array(b, pa.int64()), "members": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64()))})
 
-    return docs.select("id", "text").mapInArrow(run, "id long, set_a long, set_b long, members array<long>")
+    return docs.select("id", "text").mapInArrow(tidied(run), "id long, set_a long, set_b long, members array<long>")
 
 
 def enough(shared: Column, left_n: Column, right_n: Column, threshold: int) -> Column:

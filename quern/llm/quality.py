@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WordHashes, bounded_batches, fold, row_blocks, ship
+from .common import WordHashes, bounded_batches, fold, row_blocks, ship, tidied
 
 ship(__name__)
 
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 scores = [score_text(t, table, bias, known) for t in part[text_col].to_pylist()]
                 yield pa.record_batch([*(part[f.name] for f in rest), pa.array(scores, pa.float64())], [*(f.name for f in rest), "score"])
 
-    return docs.select(*(f.name for f in rest), text_col).mapInArrow(run, StructType([*rest, StructField("score", DoubleType())]))
+    return docs.select(*(f.name for f in rest), text_col).mapInArrow(tidied(run), StructType([*rest, StructField("score", DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, row_blocks, ship, text_of
+from .common import Scratch, bounded_batches, row_blocks, ship, text_of, tidied
 
 ship(__name__)
 
@@ -83,7 +83,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 spans = [[dict(zip(("kind", "begin", "end"), x, strict=True)) for x in spans_of(t, patterns)] for t in part["text"].to_pylist()]
                 yield pa.record_batch([part["blob"], pa.array([version] * part.num_rows, pa.string()), pa.array(spans, kind)], ["blob", "rules", "spans"])
 
-    return blobs.select("blob", "text").mapInArrow(run, FOUND)
+    return blobs.select("blob", "text").mapInArrow(tidied(run), FOUND)
 
 
 def unseen(paths: DataFrame, ledger: Ledger, rules: tuple[Rule, ...]) -> DataFrame:

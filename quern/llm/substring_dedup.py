@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import Scratch, WordHashes, bounded_batches, mixed, row_blocks, ship, text_of
+from .common import Scratch, WordHashes, bounded_batches, mixed, row_blocks, ship, text_of, tidied
 
 ship(__name__)
 
@@ -143,7 +143,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, key = text_of(text_col), ["k1", "k2"]
     keyed = docs.select(F.xxhash64(id_col, text).alias("k1"), F.xxhash64(text, F.lit(1), id_col).alias("k2"), text.alias("text"), F.col(id_col).alias("id"))
     texts = keyed.drop("id")
-    found = scratch.keep(texts.mapInArrow(anchor_rows, "anchor long, around long, k1 long, k2 long, at long"), "anchors")
+    found = scratch.keep(texts.mapInArrow(tidied(anchor_rows), "anchor long, around long, k1 long, k2 long, at long"), "anchors")
 
     again = scratch.keep(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "again")
     left = scratch.keep(found.join(again.hint("merge"), "anchor", "left_semi"), "left")
@@ -154,7 +154,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = scratch.keep(classes.join(several.hint("merge"), "anchor", "left_semi").withColumn("class", F.monotonically_increasing_id()), "open")
     spots = open_.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "class", "n")).alias("spots"))
     spelled = texts.join(scratch.keep(spots, "spots").hint("merge"), key).select("text", "spots")
-    spelled = scratch.keep(spelled.mapInArrow(spelled_windows, "half long, whole_a long, whole_b long, class long, offset long, n long"), "spelled")
+    spelled = scratch.keep(spelled.mapInArrow(tidied(spelled_windows), "half long, whole_a long, whole_b long, class long, offset long, n long"), "spelled")
 
     halves = scratch.keep(spelled.groupBy("half").agg(F.sum("n").alias("n")).filter("n > 1").select("half"), "halves")
     extended = scratch.keep(spelled.join(halves.hint("merge"), "half", "left_semi").drop("half"), "extended")
@@ -173,4 +173,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows that repeat id and text have equal covers; a set keeps one, so that it never outgrows a text.
     by_doc = scratch.keep(cover.groupBy(*key).agg(F.collect_set(F.struct("at", "mask")).alias("cover")), "by_doc")
     out = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL("n_words long, n_removed long, kept binary")])
-    return keyed.join(by_doc.hint("merge"), key, "left").mapInArrow(kept_words, out).withColumnRenamed("id", id_col)
+    return keyed.join(by_doc.hint("merge"), key, "left").mapInArrow(tidied(kept_words), out).withColumnRenamed("id", id_col)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
+from collections import Counter, defaultdict
 
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from quern.llm import queries
@@ -100,3 +105,49 @@ def test_row_stages_with_null_and_repeated_ids(spark):
     got = corpus_pipeline.language_stage(spark, odd, SF)
     assert got.filter("doc_id IS NULL").count() > 0 and abs(got.count() - want) <= 5
     assert corpus_pipeline.encoding_stage(spark, odd.limit(20), SF).count() == 20
+
+
+CLASHING = ["score", "lang_pred", "_row", "_ROW_", "_copies", "_copy", "copies", "group", "order", "first", "node", "a.b", "tick`", "id", "size", "value"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Stages keep what they don't own, whatever its name, with nulls; each against a plain version of itself."""
+    r = random.Random(1)
+    voc = {"en": ["the", "with", "thing", "other"], "de": ["der", "nicht", "schön", "und"]}
+    rows = [(k if k % 5 else None, " ".join(r.choice(voc[lang]) + r.choice("abcdef") * 2 for _ in range(40)), lang if k % 4 else None, ("s", None, "t")[k % 3]) for k, lang in enumerate(["en", "de"] * 30)]
+    rows += [(70, rows[7][1] + " ", "de", "s"), (71, rows[9][1] + " end", "de", None), (72, None, None, None), (73, "12 34 !", "en", "s"), rows[11]]
+    extra = [tuple(None if (k + j) % 6 == 0 else f"{name}-{k}" for j, name in enumerate(CLASHING)) for k in range(len(rows))]
+    schema = StructType([StructField("doc_id", LongType()), *(StructField(c, StringType()) for c in ("text", "lang", "source")), StructField("n_chars", LongType()), *(StructField(c, StringType()) for c in CLASHING)])
+    docs = spark.createDataFrame([(*row, len(row[1] or ""), *more) for row, more in zip(rows, extra, strict=True)], schema).coalesce(2)
+    whole = [tuple(x) for x in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    with_lang = lambda x: (*x[:2], *x[3:])
+
+    kept = [tuple(x) for x in stages["language_id"](spark, docs, SF).collect()]
+    assert Counter(map(with_lang, kept)) == Counter(with_lang(x) for x in whole if x[1] and any(c.isalpha() for c in x[1]))
+    assert all(x[2] == ("en" if any(w[:3] in ("the", "wit", "thi", "oth") for w in x[1].split()[:3]) else "de") for x in kept)
+
+    groups = defaultdict(list)
+    for x in whole:
+        groups["".join((x[1] or "").split())].append(x)
+    best = lambda xs: min(xs, key=lambda x: (-len(x[1] or ""), x[0] is None, x[0] or 0))
+    kept = [tuple(x) for x in stages["exact_dedup"](spark, docs, SF).collect()]
+    assert Counter((x[0], x[1]) for x in kept) == Counter((best(xs)[0], best(xs)[1]) for xs in groups.values()) and not Counter(kept) - Counter(whole)
+
+    kept = [tuple(x) for x in stages["near_dedup"](spark, docs, SF).collect()]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)}
+    near = lambda x, y: (a := shingles(x[1])) and (b := shingles(y[1])) and len(a & b) >= 0.8 * len(a | b)
+    first = lambda x: (x[0] is None, x[0] or 0)
+    lost = [x for x in whole if any(near(x, y) and first(y) < first(x) for y in whole if y is not x)]
+    assert not Counter(kept) - Counter(whole) and Counter(x[1] for x in kept) == Counter(x[1] for x in whole) - Counter(x[1] for x in lost) - Counter([rows[11][1]])
+
+    taken = Counter(tuple(x) for x in stages["mixing"](spark, docs, SF).collect())
+    assert set(taken) <= set(whole) and all(n <= 2 * whole.count(x) for x, n in taken.items())
+    for target in {(x.source_size, x.target) for x in corpus_pipeline.mix(docs).collect()}:
+        sources = [s for s in ("s", "t", None) if sum(len((x[1] or "").split()) for x in whole if x[3] == s) == target[0]]
+        assert any(abs(sum(len((x[1] or "").split()) * n for x, n in taken.items() if x[3] == s) - target[1]) <= 41 for s in sources)
+
+    ranks = corpus_pipeline.read_ranks(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = stages["bpe"](spark, docs, SF).collect()
+    assert Counter((x.doc_id, tuple(x.ids), x.n_tokens, x.decoded_sha256) for x in coded) == Counter((x[0], tuple(i := enc.encode_ordinary(x[1] or "")), len(i), hashlib.sha256((x[1] or "").encode()).hexdigest()) for x in whole)
