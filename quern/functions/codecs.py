@@ -165,3 +165,17 @@ def narrow_half(values: np.ndarray) -> np.ndarray:
 def narrow_brain(values: np.ndarray) -> np.ndarray:
     """float32 to bfloat16 bits: the low half is cut."""
     return (values.astype("<f4").view("<u4") >> 16).astype("<u2")
+
+
+def narrowed(values: Column, kind: str) -> Column:
+    """An array of float32 -> the bits of float16 ("half") or bfloat16 ("brain"); a whole batch at a time."""
+    narrow = {"half": narrow_half, "brain": narrow_brain}[kind]
+
+    @F.pandas_udf("array<int>")
+    def run(rows: pd.Series) -> pd.Series:
+        sizes = rows.map(lambda x: 0 if x is None else len(x)).to_numpy()
+        bits = narrow(np.concatenate([np.zeros(0, np.float32), *(x for x in rows if x is not None)])).astype(np.int32)
+        parts = np.split(bits, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        return pd.Series([None if x is None else part for x, part in zip(rows, parts, strict=True)], dtype=object)
+
+    return run(values)

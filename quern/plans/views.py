@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import DTYPES
+
 #: Keys of a request that are sent to all executors; longer requests are joined by key.
 MOST_BROADCAST = 100_000
 
@@ -143,6 +145,13 @@ def tree(entries: DataFrame, size: str = "len") -> DataFrame:
     return entries.select(F.explode(levels).alias("at"), F.col(size).alias("size")).groupBy("at.path", "at.depth").agg(F.count("*").alias("keys"), F.sum("size").alias("bytes"))
 
 
+def logical_bytes(entries: DataFrame) -> DataFrame:
+    """entries (shape, dtype) -> how many, and the bytes that their elements take."""
+    widths = F.create_map(*(F.lit(x) for name, kind in DTYPES.items() for x in (name, kind.width)))
+    elements = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
+    return entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum(elements * widths[F.col("dtype")]), F.lit(0)).alias("logical_bytes"))
+
+
 def checked(chunks: DataFrame) -> DataFrame:
     """Chunks whose payload doesn't have the stored checksum."""
     return chunks.filter(F.crc32("payload") != F.col("crc32"))

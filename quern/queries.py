@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import bytesfn, chunking, codecs
+from .functions import bytesfn, chunking, codecs, layouts
 from .operators import models
 from .plans import views
 from .scratch import Scratch
@@ -223,10 +223,12 @@ def s23_tree_rollup(spark, sf_dir):
     return views.tree(l3_refs(spark, sf_dir))
 
 
-@query("s24_verify")
+@query("s24_verify", "SELECT count(*) AS chunks, CAST(count_if(seq % 97 = 0) AS BIGINT) AS bad FROM l3")
 def s24_verify(spark, sf_dir):
-    chunks = l3(spark, sf_dir).select("key", F.col("payload").cast("binary").alias("payload"))
-    return verified(Scratch(spark, "verify").keep(chunks.withColumn("crc32", F.crc32("payload")), "chunks"))
+    """Chunks are stored with their checksums, then every 97th document's is damaged; the check must find just those."""
+    chunks = l3(spark, sf_dir).select("seq", F.col("payload").cast("binary").alias("payload")).withColumn("crc32", F.crc32("payload"))
+    stored = Scratch(spark, "verify").keep(chunks, "chunks")
+    return verified(stored.withColumn("payload", F.when(F.col("seq") % 97 == 0, F.concat("payload", F.lit(b"\1"))).otherwise(F.col("payload"))))
 
 
 def verified(stored: DataFrame) -> DataFrame:
@@ -234,10 +236,11 @@ def verified(stored: DataFrame) -> DataFrame:
     return stored.agg(F.count("*").alias("chunks")).join(views.checked(stored).agg(F.count("*").alias("bad")))
 
 
-@query("s26_logical_bytes", "SELECT count(*) AS entries, CAST(sum(64 * 4) AS BIGINT) AS logical_bytes FROM embeddings")
+@query("s26_logical_bytes", "SELECT count(*) AS entries, CAST(sum((user_id % 7) * (event_id % 5) * 2 * CASE event_type WHEN 'click' THEN 8 WHEN 'view' THEN 4 ELSE 1 END) AS BIGINT) AS logical_bytes FROM events", logs=False)
 def s26_logical_bytes(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.array(F.size("embedding")).alias("shape"))
-    return e.agg(F.count("*").alias("entries"), F.sum(F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x) * 4).alias("logical_bytes"))
+    """Events as tensors whose shapes and element types differ from row to row."""
+    dtype = F.when(F.col("event_type") == "click", "float64").when(F.col("event_type") == "view", "float32").otherwise("uint8")
+    return views.logical_bytes(table(spark, sf_dir, "events").select(F.array(F.col("user_id") % 7, F.col("event_id") % 5, F.lit(2)).alias("shape"), dtype.alias("dtype")))
 
 
 def _entropy_sql(limit: int, last: str) -> str:
@@ -451,6 +454,13 @@ def m9_attrs(spark, sf_dir):
     return attrs.select("event_id", F.try_element_at("attrs", F.lit("k")).cast("long").alias("k"), "fits").filter("k IS NOT NULL")
 
 
+@query("m9_attr_ops", "WITH p AS (SELECT event_id, coalesce(json_keys(props), []) AS k FROM events) SELECT event_id, len(k) AS n, len(list_distinct(list_append(k, 'user'))) AS with_user, len(list_filter(k, lambda x: x <> 'k')) AS without_k, len(k) = 0 AS empty FROM p", logs=False)
+def m9_attr_ops(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.from_json("props", "map<string,string>").alias("attrs"))
+    m, count = F.col("attrs"), lambda x: layouts.attr_count(x).cast("long")
+    return e.select("event_id", count(m).alias("n"), count(layouts.with_attr(m, "user", F.col("user_id").cast("string"))).alias("with_user"), count(layouts.without_attr(m, "k")).alias("without_k"), (count(m) == 0).alias("empty"))
+
+
 @query("r12_elements", "SELECT vec_id, unnest(range(len(embedding))) AS idx, unnest(embedding) AS value FROM embeddings", logs=False)
 def r12_elements(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "value")).select("vec_id", F.col("idx").cast("long").alias("idx"), "value")
@@ -479,10 +489,14 @@ def c2_zstd_roundtrip(spark, sf_dir):
     return back.select("seq", F.md5("data").alias("content_hash"))
 
 
-@query("b4_float_narrowing")
+@query("b4_float_narrowing", f"WITH {FLOAT_BITS} SELECT vec_id, list(CAST(CASE WHEN (b // 8388608) % 256 <= 112 THEN 0 WHEN (b // 8388608) % 256 >= 143 THEN 31744 ELSE ((b // 8388608) % 256 - 112) * 1024 + (b // 8192) % 1024 END + (b // 2147483648) * 32768 AS INTEGER) ORDER BY k) AS half, list(CAST(b // 65536 AS INTEGER) ORDER BY k) AS brain FROM bits GROUP BY vec_id", logs=False)
 def b4_float_narrowing(spark, sf_dir):
-    @F.pandas_udf("array<int>")
-    def halves(rows):
-        return rows.map(lambda x: codecs.narrow_half(x).astype("i4").tolist())
+    """The first 64 elements as float16 and as bfloat16 bits."""
+    first = F.slice("embedding", 1, 64)
+    return table(spark, sf_dir, "embeddings").select("vec_id", codecs.narrowed(first, "half").alias("half"), codecs.narrowed(first, "brain").alias("brain"))
+
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", halves("embedding").alias("bits"))
+@query("f3_bit_planes", "WITH t AS (SELECT seq, payload, length(payload) AS n FROM l5) SELECT seq, array_to_string(list_transform(range(n), lambda j: printf('%02X', CAST(list_sum(list_transform(range(8), lambda b: ((ascii(substr(payload, ((8 * j + b) % n) + 1, 1)) >> CAST((8 * j + b) // n AS INTEGER)) & 1) << CAST(b AS INTEGER))) AS INTEGER))), '') AS planes FROM t")
+def f3_bit_planes(spark, sf_dir):
+    """Orders' priorities with their bits shuffled."""
+    return l5(spark, sf_dir).select("seq", F.hex(bytesfn.bit_shuffle(F.col("payload").cast("binary"))).alias("planes"))

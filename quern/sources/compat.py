@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +39,10 @@ class Database:
         data, dtype, shape = parts_of(value)
         self.archive.put(key, data, dtype, shape, attrs, retain)
 
-    def put_batch(self, items: Mapping[str, object]) -> None:
-        for key, value in items.items():
+    def put_batch(self, items: Mapping[str, object] | Iterable[tuple[str, object]], auto_route: bool = True) -> None:
+        """A dictionary, or pairs of key and value, of which the last of a key counts. One way serves batches of any size,
+        so that there is nothing to route; `models.vectorised_batch` tells what a router would say."""
+        for key, value in items.items() if isinstance(items, Mapping) else items:
             self.put(key, value)
 
     def get(self, key: str) -> np.ndarray | None:
@@ -133,6 +135,10 @@ class BatchReader:
         return self.learned.get((first, second))
 
 
+def open(spark: SparkSession, path: str, mode: str = "a", **ignored: object) -> Database:
+    return Database(spark, path, mode, **ignored)
+
+
 def save(spark: SparkSession, path: str, value: object, key: str | None = None) -> None:
     """A dictionary under its keys, anything else under `key` or "data"."""
     with Database(spark, path, "a") as db:

@@ -236,3 +236,36 @@ def test_codecs_and_filters_of_chunks(spark, path, codec, filt):
             assert db.archive.chunks().selectExpr("sum(octet_length(payload)) < sum(len)").first()[0]
     with pytest.raises(ValueError):
         Archive(spark, path, "a", codec="none such")
+
+
+def test_data_source(spark, path):
+    from quern.plans import views
+    from quern.sources.datasource import register
+
+    with Archive(spark, path, "w") as a:
+        a.put("a", b"one", attrs={"n": 3, "s": "t"})
+        a.flush()
+        a.put("b", b"two")
+        a.put("a", b"three")
+        a.delete("b")
+        a.flush()
+        register(spark)
+        log = spark.read.format("quern").load(path)
+        plain = lambda df: sorted((r["seq"], r["key"], r["op"], r["dtype"], r["shape"], r["attrs"], r["refs"]) for r in df.collect())
+        assert plain(log) == plain(a.toc()) and [r["key"] for r in views.live_keys(log).collect()] == ["a"]
+        chunks = spark.read.format("quern").option("table", "chunks").load(path)
+        assert sorted(bytes(r["payload"]) for r in chunks.collect()) == [b"one", b"three", b"two"]
+
+
+def test_batches_of_pairs(spark, path):
+    with compat.open(spark, path, "w", shards=8) as db:
+        db.put_batch([("x", np.arange(3)), ("y", np.zeros(2)), ("x", np.arange(5))])
+        assert sorted(db.keys()) == ["x", "y"] and len(db["x"]) == 5
+
+
+def test_torch_adapter(spark, path):
+    torch = pytest.importorskip("torch")
+    from quern.sources import torch as adapter
+
+    adapter.save_file(spark, {"w": torch.arange(6.0).reshape(2, 3).requires_grad_()}, path)
+    assert adapter.load_file(spark, path)["w"].tolist() == [[0, 1, 2], [3, 4, 5]]

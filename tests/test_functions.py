@@ -240,3 +240,74 @@ def test_recent_sequences(spark):
     rows = [("u", b, p, f"{b}.{p}") for b in range(40) for p in range(3)] + [("v", 1, 0, "only")]
     got = {(x.u, x.b): x["keys"] for x in models.recent_sequences(spark.createDataFrame(rows, "u string, b long, p long, key string"), "u", "b", "p", "key").collect()}
     assert got == {("u", b): [f"{b}.{p}" for p in range(3)] for b in range(8, 40)} | {("v", 1): ["only"]}
+
+
+def test_attribute_layout():
+    from quern.functions import layouts
+    from quern.schema import ArchiveError, AttrTooLarge
+
+    attrs = {"name": "schön", "n": -5, "x": 0.25, "ok": True, "raw": b"\0\1", "": ""}
+    code = layouts.attrs_to_bytes(attrs)
+    assert layouts.attrs_from_bytes(code) == attrs and layouts.attrs_to_bytes(dict(reversed(attrs.items()))) == code
+    assert layouts.attrs_to_bytes({"ok": True}) == b"\x02ok\x03\x01\x00\x01" and layouts.attrs_from_bytes(b"") == {}
+    assert list(layouts.attrs_from_bytes(layouts.attrs_to_bytes({"k" * 300: 1}))) == ["k" * 255]
+    with pytest.raises(AttrTooLarge):
+        layouts.attrs_to_bytes({"x": "y" * 4097})
+    for cut in range(1, len(code)):
+        try:
+            assert set(layouts.attrs_from_bytes(code[:cut]).items()) < set(attrs.items())
+        except ArchiveError:
+            pass
+    for bad in (b"\x01k\x01\x04\x00abcd", b"\x01k\x09\x00\x00", b"\x01\xff\x00\x00\x00"):
+        with pytest.raises(ArchiveError):
+            layouts.attrs_from_bytes(bad)
+
+
+def test_toc_layout():
+    from quern.functions import layouts
+    from quern.schema import ArchiveError
+
+    entries = [layouts.Entry("a/b", "float32", [2, 3], {"n": 1}, [(0, 4096, 77), (3, 1 << 40, 5)]), layouts.Entry("ключ", "bool", [], deleted=True)]
+    code = layouts.toc_to_bytes(entries)
+    assert layouts.toc_from_bytes(code) == entries and layouts.toc_from_bytes(layouts.toc_to_bytes([])) == []
+    for bad in (code[:-1], code[:30], code[:4] + b"\0" + code[5:]):
+        with pytest.raises(ArchiveError):
+            layouts.toc_from_bytes(bad)
+
+
+def test_attributes_as_columns(spark):
+    from quern.functions import layouts
+
+    df = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {}), (3, None)], "k int, m map<string,string>")
+    m = F.col("m")
+    got = df.select("k", layouts.with_attr(m, "a", F.lit("9")).alias("w"), layouts.without_attr(m, "a").alias("o"), layouts.attr_count(m).alias("n"), layouts.attr_text(m).alias("t")).orderBy("k").collect()
+    assert [r.w for r in got] == [{"a": "9", "b": "2"}, {"a": "9"}, {"a": "9"}] and [r.o for r in got] == [{"b": "2"}, {}, {}] and [r.n for r in got] == [2, 0, 0]
+    assert layouts.attrs_from_bytes(bytes(got[0].t)) == {"a": "1", "b": "2"} and got[2].t is None
+    with pytest.raises(Exception, match="larger than"):
+        df.select(layouts.with_attr(m, "a", F.lit("x" * 5000))).collect()
+
+
+def test_shards_are_the_library_hash(spark):
+    import xxhash
+
+    rows = [(k,) for k in ("", "a", "models/x", "ключ", "k" * 500)]
+    got = {r.k: r.s for r in spark.createDataFrame(rows, "k string").select("k", chunking.shard_of(F.col("k"), 7).alias("s")).collect()}
+    assert got == {k: xxhash.xxh64(k.encode(), seed=0).intdigest() % 7 for (k,) in rows}
+
+
+def test_auto_select_follows_its_rule(spark):
+    rows = [(e, f, c, m, b, t) for e in (0, 1) for f in (0, 1) for c in (0, 1) for m in (0, 1) for b in (7.5, 7.7) for t in (0.0, 200.0)]
+    df = spark.createDataFrame([tuple(map(bool, r[:4])) + r[4:] for r in rows], "e boolean, f boolean, c boolean, m boolean, b double, t double")
+    pick = bytesfn.auto_select(F.col("e"), F.col("t"), F.col("f"), F.col("c"), F.col("m"), F.col("b"))
+
+    def want(e, f, c, m, b, t):
+        if e:
+            return "raw", "none", 0
+        if t >= 200:
+            return "lz4", "none", 1
+        if f:
+            return ("chimp", "none", 0) if c else ("lz4", "none", 1) if b > 7.6 else ("zstd", "byte_shuffle", 3)
+        return ("zstd", "delta_zigzag", 3) if m else ("raw", "none", 0) if b > 7.6 else ("zstd", "byte_shuffle", 3)
+
+    for r in df.withColumn("p", pick).collect():
+        assert tuple(r.p) == want(r.e, r.f, r.c, r.m, r.b, r.t)
