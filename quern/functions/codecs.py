@@ -75,7 +75,7 @@ CODECS = {
     "none": (_plain, _plain),
     "lz4": (lambda x, w, level: lz4_of(x), lambda x, w, level: unlz4_of(x)),
     "zstd": (lambda x, w, level: zstandard.ZstdCompressor(level=min(22, max(1, level))).compress(x), lambda x, w, level: zstandard.ZstdDecompressor().decompress(x)),
-    "chimp": (lambda x, w, level: chunking.xor_encode(x, w) + x[len(x) // w * w :], lambda x, w, level: _unxor(x, w)),
+    "chimp": (lambda x, w, level: chunking.xor_encode(x[: len(x) // w * w], w) + x[len(x) // w * w :], lambda x, w, level: _unxor(x, w)),
 }
 
 
