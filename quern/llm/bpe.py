@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, bounded_batches, list_blocks, row_blocks, ship, text_of, tidied
+from .common import Scratch, bounded_batches, list_blocks, row_blocks, send, ship, text_of, tidied
 
 ship(__name__)
 
@@ -200,14 +200,14 @@ class Common:
         return out
 
 
-def number_words(pattern: str, common: Callable[[], pa.Array], pieces: Callable[[], list[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def number_words(pattern: str, common: Callable[[], Common], pieces: Callable[[], list[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(id, text) -> blocks: number, id list, sizes (words of each document), codes, fresh (words not met before; null
     for long ones), long (the ids of these), anew (whether earlier fresh words are forgotten).
 
     Codes are numbers of common words, then of fresh ones in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match, shared, ranks = regex.compile(pattern), Common(common()), {}
+        match, shared, ranks = regex.compile(pattern), common(), {}
         known, number = Numbers(), 0
         one = lambda x, kind: pa.array([x], pa.list_(kind))
         for batch in batches:
@@ -320,9 +320,8 @@ class ByteBPE:
         bounded_batches(docs.sparkSession)
         rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
         common = self.common_words(rows.select("text")).combine_chunks()
-        context = docs.sparkSession.sparkContext
         column = lambda k, kind: common.column(k).chunk(0) if common.num_rows else pa.array([], kind)
-        words, ids, pieces = (context.broadcast(x) for x in (column(0, pa.binary()), column(1, pa.list_(pa.int32())), self.pieces()))
+        words, ids, pieces = (send(docs.sparkSession, x) for x in (Common(column(0, pa.binary())), column(1, pa.list_(pa.int32())), self.pieces()))
         ints = ArrayType(IntegerType())
         fields = [StructField("id", ArrayType(docs.schema[id_col].dataType)), StructField("sizes", ints), StructField("codes", ints)]
         blocks = rows.mapInArrow(tidied(number_words(self.pattern, lambda: words.value, lambda: pieces.value)), StructType([*StructType.fromDDL("number long"), *fields, *StructType.fromDDL("fresh array<binary>, long array<array<int>>, anew boolean")]))
@@ -364,7 +363,7 @@ class ByteBPE:
         return by_id
 
     def _decoder(self, df: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        pieces = df.sparkSession.sparkContext.broadcast(self.pieces())
+        pieces = send(df.sparkSession, self.pieces())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.array(pieces.value, pa.large_binary())

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -43,6 +43,22 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Broadcasts whose copies executors may keep; older ones are sent again should they be needed after all.
+BROADCASTS_KEPT = 4
+_SENT: list[Broadcast] = []
+
+
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value; executors drop the copies of earlier calls, which Spark would keep until the driver collects."""
+    context = spark.sparkContext
+    _SENT.append(context.broadcast(value))
+    while len(_SENT) > BROADCASTS_KEPT:
+        old = _SENT.pop(0)
+        if getattr(old, "_sc", None) is context:
+            old.unpersist()
+    return _SENT[-1]
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, after which the worker gives freed memory back; Spark keeps idle workers, and these what they had freed."""
 

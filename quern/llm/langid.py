@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bounded_batches, fold, quoted, row_blocks, ship, tidied
+from .common import bounded_batches, fold, quoted, row_blocks, send, ship, tidied
 
 ship(__name__)
 
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", with_text: b
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = send(spark, model)
     rest = [f for f in docs.schema.fields if (with_text or f.name != text_col) and f.name.lower() not in (pred_col.lower(), score_col.lower())]
     # Columns go by their place: mapInArrow looks names up as they are, which fails for some.
     fields = [StructField(f"c{k}", f.dataType) for k, f in enumerate(rest)] + [StructField("pred", StringType()), StructField("score", DoubleType())]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WordHashes, bounded_batches, fold, row_blocks, ship, tidied
+from .common import WordHashes, bounded_batches, fold, row_blocks, send, ship, tidied
 
 ship(__name__)
 
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "q
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
     """`docs` without the text, with score: the probability of label 1. Null and blank texts get what a space gets."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = send(docs.sparkSession, model)
     rest = [f for f in docs.schema.fields if f.name not in (text_col, "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

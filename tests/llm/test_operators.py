@@ -109,7 +109,7 @@ def test_bpe_round_trip_of_odd_and_long_texts(spark, monkeypatch):
 def test_bpe_blocks_out_of_order_fail():
     import pyarrow as pa
 
-    number = bpe_mod.number_words(r"\w+", lambda: pa.array([], pa.binary()), list)
+    number = bpe_mod.number_words(r"\w+", lambda: bpe_mod.Common(pa.array([], pa.binary())), list)
     batch = pa.record_batch({"id": [1, 2], "text": ["a b", "b c"]})
     bpe_blocks = list(number(iter([batch, batch])))
     folded = [b.set_column(4, "fresh", pa.array([[list(w) for w in row] for row in b["fresh"].to_pylist()], pa.list_(pa.list_(pa.int32())))) for b in bpe_blocks]
