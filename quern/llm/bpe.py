@@ -60,12 +60,15 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    """The literal map; keys are hexadecimal."""
+def rank_table(ranks: dict[bytes, int], words: Column) -> Column:
+    """The literal map; keys are hexadecimal.
+
+    It stays text in the plan, as its objects take long to send to each task: the condition on `words`, the list that it
+    serves, always holds and keeps the optimiser from reading it on the driver."""
     table: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
     for piece, k in ranks.items():
         table[zlib.crc32(piece) % RANK_BUCKETS][piece.hex().upper()] = k
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
+    return F.from_json(F.when(F.size(words) >= -1, F.lit(json.dumps(table, separators=(",", ":")))), "array<map<string,int>>")
 
 
 def fold_word(word: Column, table: Column) -> Column:
@@ -297,7 +300,7 @@ class ByteBPE:
 
     def fold(self, words: Column) -> Column:
         """The ids of each word of a list of binaries; null for null."""
-        return _let(rank_table(self.ranks), lambda table: F.transform(words, lambda w: F.when(w.isNotNull(), fold_word(w, table))))
+        return _let(rank_table(self.ranks, words), lambda table: F.transform(words, lambda w: F.when(w.isNotNull(), fold_word(w, table))))
 
     def common_words(self, texts: DataFrame) -> pa.Table:
         """(text) -> (word, ids) of the most frequent words of a sample."""
@@ -310,7 +313,7 @@ class ByteBPE:
         if distinct > COMMON_WORDS:
             least = counted.agg(F.percentile_approx("n", 1 - COMMON_WORDS / distinct)).first()[0]
             counted = counted.filter(F.col("n") > least)
-        lists = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(256))).repartition(16, "part").groupBy("part").agg(F.collect_list("word").alias("words"))
+        lists = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(256))).groupBy("part").agg(F.collect_list("word").alias("words")).coalesce(12)
         out = lists.select(F.explode(F.arrays_zip("words", self.fold(F.col("words")).alias("ids"))).alias("w")).select("w.words", "w.ids").toArrow()
         scratch.drop("counted")
         return out
