@@ -45,7 +45,7 @@ RANK_BUCKETS, NO_RANK = 1 << 14, (1 << 31) - 1
 #: Words that are folded for all tasks at most (about), and documents (in expectation) whose words are counted for that.
 COMMON_WORDS, SAMPLE_DOCS = 1 << 19, 1 << 15
 #: New distinct words after which a task forgets them; bytes of text and ids of one block; bytes of words that are folded.
-MOST_WORDS, BLOCK_BYTES, BLOCK_IDS, LONG_WORD = 1 << 17, 1 << 20, 1 << 18, 256
+MOST_WORDS, BLOCK_BYTES, BLOCK_IDS, LONG_WORD = 1 << 17, 3 << 20, 1 << 18, 256
 #: Characters of a text from which on its words are not listed at once.
 LONG_TEXT = 1 << 22
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -313,7 +313,7 @@ class ByteBPE:
         if distinct > COMMON_WORDS:
             least = counted.agg(F.percentile_approx("n", 1 - COMMON_WORDS / distinct)).first()[0]
             counted = counted.filter(F.col("n") > least)
-        lists = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(256))).groupBy("part").agg(F.collect_list("word").alias("words")).coalesce(12)
+        lists = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(16))).groupBy("part").agg(F.collect_list("word").alias("words")).coalesce(12)
         out = lists.select(F.explode(F.arrays_zip("words", self.fold(F.col("words")).alias("ids"))).alias("w")).select("w.words", "w.ids").toArrow()
         scratch.drop("counted")
         return out
