@@ -26,9 +26,12 @@ LEAST_SCORE = 0.5
 
 
 def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """docs with a unique number, written so that every reading has the same numbers, and that column's name."""
+    """docs with a unique number, written so that every reading has the same numbers, and that column's name.
+
+    Whole texts are written, so tables of earlier stages go first, if nothing reads them any more."""
+    Scratch.sweep(docs.sparkSession)
     row = unused(docs, "_row")
-    return Scratch(docs.sparkSession, name).keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    return Scratch(docs.sparkSession, name).keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd"), row
 
 
 def _one_each(rows: DataFrame, row: str, groups: DataFrame, *before_id: Column) -> DataFrame:

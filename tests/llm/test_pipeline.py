@@ -43,6 +43,29 @@ def test_stages(spark, tmp_path):
     assert seen[0] == 200 and seen[1] < seen[0] and seen[2] < seen[1] and seen[3] == seen[4] > 0
 
 
+def test_tables_go_when_no_plan_reads_them(spark, tmp_path):
+    import glob
+    import time
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    old = set(glob.glob(f"{root}/quern-*/*"))
+    tables = lambda: set(glob.glob(f"{root}/quern-*/*")) - old
+    first = corpus_pipeline.exact_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    first.write.parquet(str(tmp_path / "0"))
+    whole, own = sorted(r.doc_id for r in first.collect()), tables()
+    second = corpus_pipeline.near_stage(spark, spark.read.parquet(str(tmp_path / "0")), SF)
+    second.write.parquet(str(tmp_path / "1"))
+    held = sorted(r.doc_id for r in first.collect())
+    del first
+    for _ in range(20):
+        time.sleep(0.5)
+        third = corpus_pipeline.mixing_stage(spark, spark.read.parquet(str(tmp_path / "1")).limit(0), SF)
+        if not own & tables():
+            break
+    assert held == whole and own and not own & tables()
+    assert second.count() == spark.read.parquet(str(tmp_path / "1")).count() and third.count() == 0
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
