@@ -76,27 +76,29 @@ def fold_word(word: Column, table: Column) -> Column:
     merged until no pair has a rank.
 
     The state holds where pieces begin (and, last, where the word ends) and each piece's rank joined with the next."""
-    none = F.array().cast("array<int>")
-    rank = lambda piece: F.try_element_at(F.get(table, (F.crc32(piece) % RANK_BUCKETS).cast("int")), F.hex(piece))
-    pair = lambda begin, end: F.when(end.isNull(), F.lit(NO_RANK)).otherwise(F.coalesce(rank(F.substring(word, begin, end - begin)), F.lit(NO_RANK)))
+    none, never = F.array().cast("array<int>"), F.lit(NO_RANK)
+    found = lambda piece: F.try_element_at(F.get(table, F.crc32(piece).bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")), F.hex(piece))
+    # No expression is shared between uses, so what takes long is bound by a lambda; pieces that aren't there are null.
+    ranks_of = lambda pieces: F.transform(pieces, lambda piece: F.coalesce(found(piece), never))
     n = F.octet_length(word)
-    start = F.struct(F.sequence(F.lit(1), n + 1).alias("at"), F.transform(F.sequence(F.lit(1), n), lambda i: pair(i, F.when(i < n, i + 2))).alias("ranks"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(2)))
+    start = F.struct(F.sequence(F.lit(1), n + 1).alias("at"), F.concat(ranks_of(pairs), F.array(never)).alias("ranks"))
 
     def merge(state: Column, _: Column) -> Column:
         at, ranks = state["at"], state["ranks"]
 
         def put(p: Column) -> Column:
-            left = F.when(p > 1, F.array(pair(F.get(at, p - 2), F.get(at, p + 1)))).otherwise(none)
-            own = F.array(pair(F.get(at, p - 1), F.get(at, p + 2)))
-            rest = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, own, F.slice(ranks, p + 2, n))
+            piece = lambda begin, end: F.substring(word, begin, end - begin)
+            own = piece(F.get(at, p - 1), F.get(at, p + 2))
+            pieces = F.when(p > 1, F.array(piece(F.get(at, p - 2), F.get(at, p + 1)), own)).otherwise(F.array(own))
+            rest = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), ranks_of(pieces), F.slice(ranks, p + 2, n))
             return F.struct(F.array_remove(at, F.get(at, p)).alias("at"), rest.alias("ranks"))
 
-        least = F.array_min(ranks)
-        return F.when(least == NO_RANK, state).otherwise(_let(F.array_position(ranks, least).cast("int"), put))
+        return _let(F.array_min(ranks), lambda least: F.when(least == NO_RANK, state).otherwise(_let(F.array_position(ranks, least).cast("int"), put)))
 
-    ids = lambda s: F.transform(F.slice(s["at"], F.lit(1), F.size(s["at"]) - 1), lambda begin, i: rank(F.substring(word, begin, F.get(s["at"], i + 1) - begin)))
+    ids = lambda s: F.transform(F.transform(F.slice(s["at"], F.lit(1), F.size(s["at"]) - 1), lambda begin, i: F.substring(word, begin, F.get(s["at"], i + 1) - begin)), found)
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
-    return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(steps, start, merge, ids)))
+    return _let(found(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(steps, start, merge, ids)))
 
 
 def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -106,6 +106,18 @@ def test_bpe_round_trip_of_odd_and_long_texts(spark, monkeypatch):
         assert Counter(map(tuple, bpe.round_trip(rows).collect())) == want
 
 
+def test_fold_makes_each_piece_once(spark):
+    ranks = bpe_mod.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    r = random.Random(3)
+    words = [bytes(r.choice(b" aeinrst\xc3\xa9") for _ in range(r.randrange(1, 30))) for _ in range(400)] + [b"a", b"\xff", b" the", b"aaaaaaaaaaaaa", b"x" * 256]
+    rows = spark.createDataFrame([(k, [*words[k::4], None] if k < 4 else []) for k in range(5)], "k long, words array<binary>").coalesce(1)
+    fold = bpe_mod.ByteBPE(ranks, "x").fold(F.col("words"))
+    got = rows.select("k", fold.alias("ids")).orderBy("k").collect()
+    assert got[4].ids == [] and all(got[k].ids == [*(bpe_mod.heap_merge(w, ranks) for w in words[k::4]), None] for k in range(4))
+    # Not once for the bucket and again for the key: nothing in a lambda is shared.
+    assert "crc32(substring" not in str(fold).lower()
+
+
 def test_bpe_blocks_out_of_order_fail():
     import pyarrow as pa
 
