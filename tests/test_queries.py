@@ -46,3 +46,20 @@ def test_runs(spark, name):
 def test_prefix_reaches_the_scan(spark):
     plan = q.r5_prefix_latest(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "event_id" in plan and "value" not in plan.split("ReadSchema")[1]
+
+
+def odd_documents(spark, duck, folder, name):
+    """A query's columns and its SQL's, over ids that repeat (with equal and other texts, empty and null ones), null ids and ids without text."""
+    texts = [(1, "one text"), (1, "one text"), (2, "öne"), (2, "another " * 300), (3, ""), (4, None), (5, None), (5, "zz"), (6, ""), (6, "abc"), (None, "x"), (None, "yz")]
+    texts += [(7, "abcd" * 500), (8, "a"), (9, "a" * 64 + "b" * 32 + "c" * 16 + "d" * 8 + "e" * 4 + "ff" + "gh")] + [(10, chr(33 + k)) for k in range(90)] + [(11, "".join(map(chr, range(256, 800))))]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(folder / "documents.parquet"))
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    got, want = q.QUERIES[name](spark, str(folder)), con.sql(q.ORACLE_SQL[name])
+    assert got.columns == want.columns
+    return sorted(map(tuple, got.collect()), key=str), sorted(want.fetchall(), key=str)
+
+
+def test_entropy_of_odd_documents(spark, duck, tmp_path):
+    got, want = odd_documents(spark, duck, tmp_path, "e1_entropy")
+    assert got == want and dict(got)[4] == 0 and 3 not in dict(got)
