@@ -63,3 +63,8 @@ def odd_documents(spark, duck, folder, name):
 def test_entropy_of_odd_documents(spark, duck, tmp_path):
     got, want = odd_documents(spark, duck, tmp_path, "e1_entropy")
     assert got == want and dict(got)[4] == 0 and 3 not in dict(got)
+
+
+def test_codec_decision_of_odd_documents(spark, duck, tmp_path):
+    got, want = odd_documents(spark, duck, tmp_path, "e2_codec_decision")
+    assert got == want and {"lz4", "zstd"} <= set(dict(got).values())
